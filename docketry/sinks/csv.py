@@ -32,6 +32,6 @@ def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
 
 
 def read_csv(spark, path: str) -> DataFrame:
-    """Read an export back; every column is text."""
+    """Read an export back; every column is text, and an empty field is empty text."""
     df = spark.read.options(header="true", escape='"', lineSep="\r\n", nullValue="\0", emptyValue="").csv(path)
-    return df.toDF(*[c.removeprefix(BOM) for c in df.columns])
+    return df.toDF(*[c.removeprefix(BOM) for c in df.columns]).na.fill("")
