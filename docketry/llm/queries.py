@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.leakage import leak_report, leaks
 from docketry.llm.look_alikes import CYRILLIC, INVISIBLE, LOOK_ALIKES, SEVERAL, SINGLE, uniform_text
+from docketry.llm.truncation import cut_shares, truncated
 from docketry.plans.tables import table
 
 QUERIES: dict = {}
@@ -81,3 +82,16 @@ def p7_found(spark, d):
 def p7_items(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
     return leak_report(leaks(docs, items), docs, items)
+
+
+# Problem 1: texts cut off.
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return truncated(table(spark, d, "patent_utility_info")).filter("is_cut").select("rec_id")
+
+
+@query("p1_sources")
+def p1_sources(spark, d):
+    return cut_shares(truncated(table(spark, d, "patent_utility_info")))
