@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.leakage import leak_report, leaks
 from docketry.llm.look_alikes import CYRILLIC, INVISIBLE, LOOK_ALIKES, SEVERAL, SINGLE, uniform_text
+from docketry.llm.mixing import mix
+from docketry.llm.splitting import split_oversized
 from docketry.llm.truncation import cut_shares, truncated
 from docketry.plans.tables import table
 
@@ -95,3 +97,24 @@ def p1_found(spark, d):
 @query("p1_sources")
 def p1_sources(spark, d):
     return cut_shares(truncated(table(spark, d, "patent_utility_info")))
+
+
+# Problem 8: mixing sources.
+
+
+@query("p8_mix")
+def p8_mix(spark, d):
+    return mix(table(spark, d, "documents"), table(spark, d, "source_plan"))[0]
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    return mix(table(spark, d, "documents"), table(spark, d, "source_plan"))[1]
+
+
+# Problem 9: splitting oversized texts.
+
+
+@query("p9_pieces")
+def p9_pieces(spark, d):
+    return split_oversized(table(spark, d, "documents"), table(spark, d, "source_plan"))
