@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docketry.llm.leakage import leak_report, leaks
 from docketry.llm.look_alikes import CYRILLIC, INVISIBLE, LOOK_ALIKES, SEVERAL, SINGLE, uniform_text
 from docketry.llm.mixing import mix
+from docketry.llm.names import name_classes, name_pairs
 from docketry.llm.splitting import split_oversized
 from docketry.llm.truncation import cut_shares, truncated
 from docketry.plans.tables import table
@@ -118,3 +119,20 @@ def p8_shares(spark, d):
 @query("p9_pieces")
 def p9_pieces(spark, d):
     return split_oversized(table(spark, d, "documents"), table(spark, d, "source_plan"))
+
+
+# Problem 6: variant spellings of names.
+
+
+def _name_classes(spark, d):
+    return name_classes(table(spark, d, "patent_utility_info"), table(spark, d, "given_name_forms"))
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return name_pairs(_name_classes(spark, d))
+
+
+@query("p6_classes")
+def p6_classes(spark, d):
+    return _name_classes(spark, d)
