@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.session import materialize
+
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC = dict(zip("АВЕЅЗІЈКМНОРСТУХѴаеѕіјорсухѵԁԛԝһӏ", "ABES3IJKMHOPCTYXVaesijopcyxvdqwhl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
@@ -58,7 +61,32 @@ _EDGE = rf"(?<=[{_LETTER}])(?![{_LETTER}])|(?<![{_LETTER}])(?=[{_LETTER}])"
 _DISGUISED = rf"^(?:[A-Za-z{_LOOK}]{{2,}}|[{''.join(CYRILLIC)}])$"
 
 
-def seen_form(col: Column) -> Column:
+def _ranges(codes: list[int]) -> str:
+    """A character class of the code points, written as ranges."""
+    out, start = [], None
+    for i, c in enumerate(codes):
+        start = c if start is None else start
+        if i + 1 == len(codes) or codes[i + 1] != c + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{c:x}}}")
+            start = None
+    return "".join(out)
+
+
+def _ordinary() -> str:
+    """Class of characters no rule touches: what most texts consist of, found by the rules themselves."""
+    blocks = [(0x9, 0xD), (0x20, 0x7E), (0xA1, 0x24F), (0x370, 0x3FF), (0x2010, 0x205E), (0x2190, 0x22FF)]
+    blocks += [(0x3001, 0x303F), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFFFD, 0xFFFD)]
+    touched = set(LOOK_ALIKES) | set(SINGLE) | set(SEVERAL)
+    hidden = re.compile(f"[{INVISIBLE}]|{DECOMPOSED}")
+    codes = [c for a, b in blocks for c in range(a, b + 1) if chr(c) not in touched and not hidden.match(chr(c))]
+    return _ranges([c for c in codes if unicodedata.normalize("NFC", chr(c)) == chr(c)])
+
+
+#: A value without such a character is its own form; this one test settles most values.
+_UNUSUAL = f"[^{_ordinary()}]"
+
+
+def mapped_form(col: Column) -> Column:
     """The value with invisible characters removed and look-alikes mapped; marks stay decomposed.
 
     Greek and Cyrillic letters are mapped only in runs of letters that are Latin in disguise, so
@@ -78,6 +106,11 @@ def seen_form(col: Column) -> Column:
     return F.when(text.rlike(f"[{_LOOK}]"), F.array_join(runs, "")).otherwise(text)
 
 
+def seen_form(col: Column) -> Column:
+    """:func:`mapped_form` where the value has an unusual character, else the value itself."""
+    return F.when(col.rlike(_UNUSUAL), mapped_form(col)).otherwise(col)
+
+
 @F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -88,39 +121,48 @@ def composed(col: Column) -> Column:
     return F.coalesce(_composed(F.when(col.rlike(DECOMPOSED), col)), col)
 
 
-def uniform_text(df: DataFrame, fields: tuple[str, ...], id_col: str = "rec_id") -> DataFrame:
+def uniform_text(
+    df: DataFrame, fields: tuple[str, ...], id_col: str = "rec_id", only_odd: bool = False
+) -> DataFrame:
     """One row per record and non-null field: ``rec_id``, ``field_name``, ``value``, ``canonical``, ``odd``.
 
-    The mapped values (:func:`seen_form`) are grouped under the accent-sensitive Unicode collation,
+    The mapped values (:func:`mapped_form`) are grouped under the accent-sensitive Unicode collation,
     which joins composed and decomposed writings. The canonical member of a class is the one with the
     fewest parts to compose, then the least by code point, and is returned composed. ``odd`` tells
-    that the value needed it. Null values give no rows, empty ones are their own form; repeated rows
-    are kept; an empty table gives none. Other columns are ignored.
-
-    A value without any stand-in is the canonical member of its class, as no other such value equals
-    it under the collation; so only odd rows are joined with the classes. The classes are combined
-    before their shuffle, so copies of one value, however many, cost one row per task.
+    that the value needed it; ``only_odd`` returns just these rows. Null values give no rows, empty ones
+    are their own form; repeated rows are kept; an empty table gives none. Other columns are ignored.
+
+    A value without any unusual character is composed and has nothing mapped, so it is what its class
+    composes to: its own canonical form, whatever else is in the class. One scan settles these; only
+    values with an unusual character are mapped, grouped and joined. Sorting by collation is dear, so
+    this matters most. Classes are combined before their shuffle: copies of one value, however many,
+    cost a row per task.
     """
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])
     long = (
         df.select(F.col(id_col).alias("rec_id"), F.explode(cells).alias("c"))
         .select("rec_id", "c.*")
         .filter("value is not null")
-        .withColumn("seen", seen_form(F.col("value")))
     )
-    parts = F.regexp_count(F.col("seen"), F.lit(DECOMPOSED))
-    suspect = (F.col("seen") != F.col("value")) | F.col("value").rlike(DECOMPOSED)
+    unusual = F.col("value").rlike(_UNUSUAL)
+    suspects = materialize(
+        long.filter(unusual).withColumn("seen", mapped_form(F.col("value"))), "unusual-values"
+    )
     spark = df.sparkSession
     classes = spark.sql(
         """SELECT seen COLLATE UNICODE AS look, min_by(seen, struct(parts, seen)) AS member
-        FROM {long} GROUP BY seen COLLATE UNICODE""",
-        long=long.select("seen", parts.alias("parts")),
+        FROM {values} GROUP BY seen COLLATE UNICODE""",
+        values=suspects.groupBy("seen").agg(F.any_value(F.regexp_count("seen", F.lit(DECOMPOSED))).alias("parts")),
     ).withColumn("canonical", composed(F.col("member")))
     odd = spark.sql(
-        """SELECT o.rec_id, o.field_name, o.value, c.canonical FROM {odd} o JOIN {classes} c
-        ON o.seen COLLATE UNICODE = c.look""",
-        odd=long.filter(suspect),
+        """SELECT o.rec_id, o.field_name, o.value, c.canonical, o.value <> c.canonical AS odd
+        FROM {values} o JOIN {classes} c ON o.seen COLLATE UNICODE = c.look""",
+        values=suspects,
         classes=classes,
     )
-    plain = long.filter(~suspect).select("rec_id", "field_name", "value", F.col("value").alias("canonical"))
-    return odd.unionByName(plain).withColumn("odd", F.col("value") != F.col("canonical"))
+    if only_odd:
+        return odd.filter("odd")
+    plain = long.filter(~unusual).select(
+        "rec_id", "field_name", "value", F.col("value").alias("canonical"), F.lit(False).alias("odd")
+    )
+    return odd.unionByName(plain)

@@ -53,8 +53,8 @@ def _odd_sql(col: str) -> str:
     ),
 )
 def p4_found(spark, d):
-    forms = uniform_text(table(spark, d, "patent_utility_info"), TEXT_FIELDS)
-    return forms.filter("odd").select("rec_id", "field_name")
+    forms = uniform_text(table(spark, d, "patent_utility_info"), TEXT_FIELDS, only_odd=True)
+    return forms.select("rec_id", "field_name")
 
 
 @query("p4_uniform")
