@@ -116,14 +116,56 @@ class Splitter:
             n += len(self.enc.encode_ordinary(raw[ends[p] : ends[e]].decode())) - (e - p)
         return n
 
+    def _by_characters(self, raw: bytes, a: int, behind: int, limit: int, overlap: int) -> tuple[int, int, int]:
+        """A piece from byte ``a`` where tokens and characters hardly ever end together: its end, its tokens
+        and the start of the next piece, all at characters. It ends behind byte ``behind``."""
+        tail = raw[a : max(a, behind) + 4 * limit + 4].decode(errors="ignore")
+        size = [len(c.encode()) for c in tail]
+
+        def count(i: int, j: int) -> int:
+            return len(self.enc.encode_ordinary(tail[i:j]))
+
+        i, passed, least = 0, a, 0
+        while least < len(size) and passed <= behind:
+            passed += size[least]
+            least += 1
+        k = max(least, min(len(tail), limit))
+        while k > max(1, least) and count(0, k) > limit:
+            k -= 1
+        while i < least - 1 and count(i, k) > limit:  # too much overlap to advance: start later
+            i += 1
+        j = k - 1 if overlap else k
+        while j > i + 1 and count(j, k) < overlap:
+            j -= 1
+        start = a + sum(size[:i])
+        return start, a + sum(size[:k]), a + sum(size[: max(j, i + 1)])
+
     def split(self, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
         """Pieces (start byte, end byte, tokens, text) of a text with more than ``limit`` tokens, else none."""
         raw = text.encode("utf-8", "replace")
         if len(raw) <= limit:  # a token has at least one byte
             return []
-        tokens = self.enc.encode_ordinary(text)
-        if len(tokens) <= limit:
+        if len(tokens := self.enc.encode_ordinary(text)) <= limit:
             return []
+        out: list[tuple[int, int, int, str]] = []
+        offset = behind = 0
+        while True:
+            rest = self._cut(raw[offset:], tokens, limit, overlap, behind - offset, offset, out)
+            if rest is None:
+                return out
+            start, z, following = self._by_characters(raw, rest, behind := out[-1][1] if out else 0, limit, overlap)
+            piece = raw[start:z].decode()
+            out.append((start, z, len(self.enc.encode_ordinary(piece)), piece))
+            if z == len(raw):
+                return out
+            offset, behind = following, z
+            tokens = self.enc.encode_ordinary(raw[offset:].decode())
+
+    def _cut(self, raw, tokens, limit, overlap, behind, offset, out) -> int | None:
+        """Append pieces cut between tokens; the start of a piece for which that is impossible, or None.
+
+        The first piece must end behind byte ``behind``.
+        """
         n = len(tokens)
         ends = np.concatenate(([0], np.cumsum(self.size[tokens])))
         cut = strengths(raw)[ends]
@@ -133,39 +175,41 @@ class Splitter:
         inner = ends[1:-1]
         safe[1:-1] = blank[inner] & ~blank[inner - 1]
         least = max(1, min(limit, max(int(limit * MIN_FILL), overlap + 8)))
-        out, s, base, index = [], 0, 0, None
+        before = max(0, int(np.searchsorted(ends, behind, "right")) - 1)
+        s, base, index = 0, 0, None
         while True:
-            last = s + limit >= n
-            hi = n if last else s + limit
+            hi = min(n, s + limit)
             while True:
-                if last and hi == n:
+                if hi == n:
                     e = n
                 else:
                     if index is None or hi - base >= len(index.values):
                         base = s
                         index = StrongestCut(cut[base : base + INDEX_TOKENS + limit + 1], limit + 1)
-                    lo = min(max(s + least, s + 1), hi)
+                    lo = min(max(s + least, before + 1), hi)
                     e = base + index.query(lo - base, hi - base)
-                    if cut[e] == BROKEN:  # no character ends in the window: the nearest end before it
-                        e = lo - 1
-                        while e > s and cut[e] == BROKEN:
-                            e -= 1
-                        if e == s:  # a limit smaller than one character: the character is a piece
-                            e = hi
-                            while cut[e] == BROKEN:
-                                e += 1
+                    while e > max(s, before) and cut[e] == BROKEN:  # the nearest character's end before it
+                        e -= 1
+                if e <= max(s, before):
+                    return offset + int(ends[s])
                 count = self._count(raw, ends, safe, s, e)
-                if count <= limit or e - s <= 4:
+                if count <= limit:
                     break
-                hi = max(s + 1, min(e, hi) - max(1, count - limit))
+                hi = min(e, hi) - (count - limit)
+                if hi <= max(s, before):
+                    return offset + int(ends[s])
             a, z = int(ends[s]), int(ends[e])
-            out.append((a, z, count, raw[a:z].decode()))
+            out.append((offset + a, offset + z, count, raw[a:z].decode()))
             if e == n:
-                return out
-            following = e - min(overlap, e - s - 1)
+                return None
+            wanted = following = e - min(overlap, e - s - 1)
             while following > s + 1 and cut[following] == BROKEN:
                 following -= 1
-            s = following if cut[following] != BROKEN else e
+            if cut[following] == BROKEN:  # no character begins between: the next one behind
+                following = wanted
+                while cut[following] == BROKEN:
+                    following += 1
+            s, before = following, e
 
 
 def split_oversized(
@@ -180,7 +224,7 @@ def split_oversized(
     rightmost: heading, paragraph, line, sentence, clause, comma, blank, and inside a word only where
     there is none. Null and empty texts and texts within the limit give no rows; a null or unplanned
     source takes 512 and 64; an overlap of the limit or more counts as the greatest that lets pieces
-    advance; repeated rows are split each. The pieces cover the text without gaps. Other columns are
+    advance; one character with more tokens than the limit is a piece; repeated rows are split each. The pieces cover the text without gaps. Other columns are
     ignored.
 
     One scan without a shuffle; the plan is a small table that is joined by source. Texts are handled
