@@ -107,16 +107,35 @@ def mapped_form(col: Column) -> Column:
     return F.when(text.rlike(f"[{_LOOK}]"), F.array_join(runs, "")).otherwise(text)
 
 
-def seen_form(col: Column) -> Column:
-    """:func:`mapped_form` where the value has an unusual character, else the value itself."""
-    return F.when(col.rlike(_UNUSUAL), mapped_form(col)).otherwise(col)
-
-
 @F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+_HIDDEN = re.compile(f"[{INVISIBLE}]")
+_TABLE = str.maketrans(SINGLE | SEVERAL)
+_RUN = re.compile(f"[{_LETTER}]+")
+_IS_DISGUISED = re.compile(_DISGUISED)
+_TO_LATIN = str.maketrans(LOOK_ALIKES)
+
+
+def plain(text: str) -> str:
+    """What :func:`mapped_form` and composition make of a text, outside SQL."""
+    text = _HIDDEN.sub("", text).translate(_TABLE)
+    text = _RUN.sub(lambda m: m.group().translate(_TO_LATIN) if _IS_DISGUISED.match(m.group()) else m.group(), text)
+    return unicodedata.normalize("NFC", text)
+
+
+@F.pandas_udf(T.StringType())
+def _plain(text: pd.Series) -> pd.Series:
+    return text.map(plain, na_action="ignore")
+
+
+def plain_form(col: Column) -> Column:
+    """:func:`plain` of the values with an unusual character; only these are sent to Python."""
+    return F.coalesce(_plain(F.when(col.rlike(_UNUSUAL), col)), col)
+
+
 def composed(col: Column) -> Column:
     """Canonical composition. Only values with parts to compose are sent to Python."""
     return F.coalesce(_composed(F.when(col.rlike(DECOMPOSED), col)), col)

@@ -2,7 +2,7 @@
 
 import unicodedata
 
-from docketry.llm.look_alikes import uniform_text
+from docketry.llm.look_alikes import plain, uniform_text
 
 ODD = {
     "ＡBC １２": "ABC 12", "a​b": "ab", "a b": "a b", "a　b": "a b", "﻿x": "x", "co­op": "coop",
@@ -16,6 +16,10 @@ PLAIN = [
 ]
 
 
+def test_outside_sql():
+    assert {v: plain(v) for v in ODD} == ODD and [plain(v) for v in PLAIN] == PLAIN
+
+
 def test_forms(spark):
     values = [*ODD, *PLAIN, None, *list(ODD)[:3]]
     rows = [(i, v, v, "clash", "clash") for i, v in enumerate(values)]
