@@ -14,9 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from docketry.functions.text import mask_text
 from docketry.sources.xml_records import RECORD_SCHEMA, MalformedResponse, parse_tree, records_of
 
-# The search service.
-ENDPOINT = "http://plus.kipris.or.kr/openapi/rest/patUtiModInfoSearchSevice/freeSearchInfo"
-KEY_VARIABLE = "KIPRIS_API_KEY"
+#: Environment of the process that makes the request: address of the free-search service, access key.
+ENDPOINT_VARIABLE = "PATENT_SEARCH_ENDPOINT"
+KEY_VARIABLE = "PATENT_SEARCH_KEY"
 TIMEOUT_SECONDS = 30
 MAX_COUNT = 20
 
@@ -27,7 +27,7 @@ class Response:
     body: bytes
 
 
-def request_url(word: str, count: int, key: str, endpoint: str = ENDPOINT, page: int = 1) -> str:
+def request_url(word: str, count: int, key: str, endpoint: str, page: int = 1) -> str:
     query = {
         "word": word, "patent": "true", "utility": "true", "docsStart": str(page),
         "docsCount": str(count), "lastvalue": "", "accessKey": key,
@@ -39,7 +39,8 @@ class HttpTransport:
     """One GET request. An HTTP error still is a response; no connection raises."""
 
     def get(self, word: str, count: int, key: str) -> Response:
-        request = urllib.request.Request(request_url(word, count, key), headers={"User-Agent": "docketry/0.1"})
+        url = request_url(word, count, key, os.environ[ENDPOINT_VARIABLE])
+        request = urllib.request.Request(url, headers={"User-Agent": "docketry/0.1"})
         try:
             with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as answer:
                 return Response(answer.status, answer.read())
@@ -132,9 +133,12 @@ def search(
 ) -> DataFrame:
     """Records (or, with ``status``, diagnostics) for a search word.
 
-    The access key comes from the environment of the process that makes the request.
+    The service's address and the access key come from the environment of the process that makes the
+    request.
     """
     check_arguments(word, "saved" if folder else os.environ.get(KEY_VARIABLE, ""), count)
+    if not folder and not os.environ.get(ENDPOINT_VARIABLE):
+        raise ValueError(f"{ENDPOINT_VARIABLE} isn't set.")
     spark.dataSource.register(SearchSource)
     reader = spark.read.format("patent_search").option("word", word).option("count", count)
     reader = reader.option("status", str(status).lower())

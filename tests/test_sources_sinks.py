@@ -59,10 +59,44 @@ def test_search_source(spark, tmp_path, monkeypatch):
     for args in (("ok", 0), ("ok", 21), (" ", 5)):
         with pytest.raises(ValueError):
             search(spark, *args, folder=folder)
-    monkeypatch.delenv("KIPRIS_API_KEY", raising=False)
+    monkeypatch.delenv("PATENT_SEARCH_KEY", raising=False)
     with pytest.raises(ValueError):
         search(spark, "ok")
-    assert "accessKey=k%26y" in request_url("w", 5, "k&y") and "docsCount=5" in request_url("w", 5, "k")
+    monkeypatch.setenv("PATENT_SEARCH_KEY", "k")
+    monkeypatch.delenv("PATENT_SEARCH_ENDPOINT", raising=False)
+    with pytest.raises(ValueError, match="ENDPOINT"):
+        search(spark, "ok")
+    url = request_url("w", 5, "k&y", "http://localhost/s")
+    assert url.startswith("http://localhost/s?word=w&") and "accessKey=k%26y" in url and "docsCount=5" in url
+
+
+def test_http_transport(monkeypatch):
+    """Answers, HTTP errors and refused connections of a server on this machine."""
+    import http.server
+    import threading
+
+    from docketry.sources.rest import HttpTransport
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = XML.encode()
+            self.send_response(503 if "word=bad" in self.path else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("PATENT_SEARCH_ENDPOINT", f"http://127.0.0.1:{server.server_port}/s")
+    assert (HttpTransport().get("ok", 5, "k").status, HttpTransport().get("bad", 5, "k").status) == (200, 503)
+    assert HttpTransport().get("bad", 5, "k").body == XML.encode()
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(RuntimeError) as error:
+        HttpTransport().get("ok", 5, "secretkey")
+    assert "secretkey" not in str(error.value)
 
 
 def test_csv_bytes(spark, tmp_path):
