@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,13 +82,22 @@ class ItemIndex:
         window = min_run - GRAM + 1
         bound = np.full(len(grams), np.inf)
         by_owner = [{} for _ in grams]
-        for t, o, s in zip(terms, owner, score):
+        for t, o, s in zip(terms.tolist(), owner.tolist(), score.tolist()):
             by_owner[o][t] = s
         for k, g in enumerate(grams):
-            seq = [by_owner[k][x] for x in g]
-            for a in range(len(g) - window + 1):
-                part = dict(zip(g[a : a + window].tolist(), seq[a : a + window]))
-                bound[k] = min(bound[k], math.fsum(part.values()))
+            held: dict = {}
+            total = 0.0
+            for i, x in enumerate(g.tolist()):
+                held[x] = held.get(x, 0) + 1
+                if held[x] == 1:
+                    total += by_owner[k][x]
+                if i >= window:
+                    out = int(g[i - window])
+                    held[out] -= 1
+                    if not held[out]:
+                        total -= by_owner[k][out]
+                if i >= window - 1:
+                    bound[k] = min(bound[k], total)
         self.item, self.score = owner, score / bound[owner] if len(tf) else score
         starts = [
             b for s, e in zip(self.start, self.start[1:]) for b in range(s, e, BLOCK)
@@ -174,6 +184,12 @@ class ItemIndex:
         return any(passage[i : i + n] in runs for i in range(len(passage) - n + 1))
 
 
+@lru_cache(maxsize=2)
+def _index(ids: tuple, texts: tuple, min_run: int) -> ItemIndex:
+    """The index of a block, built once per Python worker and used by all its tasks."""
+    return ItemIndex(list(ids), list(texts), min_run)
+
+
 def _search(index: ItemIndex, ids, texts) -> Iterator[tuple[int, int]]:
     """Leaks of one batch. Grams are hashed for the whole batch at once; texts don't run together."""
     step = PASSAGE - index.min_run + 1
@@ -236,10 +252,10 @@ def leaks(
     )
     out = None
     for ids, texts in _blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast((ids, texts))
+        shared = spark.sparkContext.broadcast((tuple(ids), tuple(texts)))
 
         def search(batches, shared=shared):
-            index = ItemIndex(*shared.value, min_run=min_run)
+            index = _index(*shared.value, min_run)
             for batch in batches:
                 rows = list(_search(index, batch["doc_id"].tolist(), batch["text"].tolist()))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"], dtype="int64")
