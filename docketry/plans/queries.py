@@ -296,15 +296,9 @@ def xml_metadata(spark, d):
 
 @query("rest_search", "SELECT * FROM (VALUES ('battery', 0, 'A bold x'), ('battery', 1, 'T2'), ('battery', 2, '')) t(word, pos, title)")
 def rest_search(spark, d):
-    import os
-    import tempfile
-
     from docketry.sources.rest import search
 
-    folder = tempfile.mkdtemp(prefix="saved-")  # the saved response is read in local tests only
-    with open(os.path.join(folder, "battery.xml"), "w", encoding="utf-8") as file:
-        file.write(XML)
-    return search(spark, "battery", folder=folder).select("word", "pos", "title")
+    return search(spark, "battery", saved=XML).select("word", "pos", "title")
 
 
 @query("json_log_scan", "SELECT * FROM (VALUES (0::BIGINT, '1', 7.5::DOUBLE), (3::BIGINT, '2', NULL)) t(ord, application_number, score)")

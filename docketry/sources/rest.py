@@ -65,6 +65,16 @@ class FolderTransport:
         raise RuntimeError("The search service can't be reached: no saved response.")
 
 
+class SavedTransport:
+    """Always answers with one saved body; needs no file that executors would have to share."""
+
+    def __init__(self, body: str):
+        self.body = body
+
+    def get(self, word: str, count: int, key: str) -> Response:
+        return Response(200, self.body.encode())
+
+
 def check_arguments(word: str, key: str, count: int) -> None:
     """Raised before any plan is built."""
     if not key:
@@ -84,14 +94,16 @@ class SearchReader(DataSourceReader):
     def __init__(self, options, status_only: bool):
         self.words = [w for w in options.get("word", "").split("\n") if w.strip()]
         self.count = int(options.get("count", MAX_COUNT))
-        self.folder = options.get("folder")
+        self.folder, self.saved = options.get("folder"), options.get("saved")
         self.status_only = status_only
 
     def partitions(self):
         return [Query(word) for word in self.words]
 
     def read(self, partition):
-        transport = FolderTransport(self.folder) if self.folder else HttpTransport()
+        transport = (
+            SavedTransport(self.saved) if self.saved else FolderTransport(self.folder) if self.folder else HttpTransport()
+        )
         # The key is read where the request is made, so that no plan, option or log carries it.
         answer = transport.get(partition.value, self.count, os.environ.get(KEY_VARIABLE, ""))
         try:
@@ -112,7 +124,8 @@ class SearchSource(DataSource):
 
     Each word is a partition. ``status=true`` gives one diagnostic row per word (HTTP status, is the
     body XML, number of records), which tells a failed request from an empty result. ``folder`` reads
-    saved responses instead of the network.
+    saved responses from a folder all executors see, ``saved`` is a response itself; both replace the
+    network.
     """
 
     @classmethod
@@ -129,17 +142,22 @@ class SearchSource(DataSource):
 
 
 def search(
-    spark: SparkSession, word: str, count: int = MAX_COUNT, folder: str | None = None, status: bool = False
+    spark: SparkSession,
+    word: str,
+    count: int = MAX_COUNT,
+    folder: str | None = None,
+    status: bool = False,
+    saved: str | None = None,
 ) -> DataFrame:
     """Records (or, with ``status``, diagnostics) for a search word.
 
     The service's address and the access key come from the environment of the process that makes the
     request.
     """
-    check_arguments(word, "saved" if folder else os.environ.get(KEY_VARIABLE, ""), count)
-    if not folder and not os.environ.get(ENDPOINT_VARIABLE):
+    offline = {k: v for k, v in (("folder", folder), ("saved", saved)) if v}
+    check_arguments(word, "saved" if offline else os.environ.get(KEY_VARIABLE, ""), count)
+    if not offline and not os.environ.get(ENDPOINT_VARIABLE):
         raise ValueError(f"{ENDPOINT_VARIABLE} isn't set.")
     spark.dataSource.register(SearchSource)
     reader = spark.read.format("patent_search").option("word", word).option("count", count)
-    reader = reader.option("status", str(status).lower())
-    return (reader.option("folder", folder) if folder else reader).load()
+    return reader.option("status", str(status).lower()).options(**offline).load()
