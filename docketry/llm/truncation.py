@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from docketry.llm.look_alikes import plain_form
 from docketry.session import materialize
 
-#: What feeds put behind a cut: ellipses, notices, broken characters, tags and entities, hyphens.
+#: What feeds put behind a cut: ellipses of two dots or more, notices, broken characters, tags and entities, hyphens.
 CUT_MARKS = (
-    r"(?:\s*(?:\.{3,}|…+|\[(?:\.{3,}|…+)\]|\((?:이하\s*생략|생략|중략|계속|truncated|continued|more)\)"
+    r"(?:\s*(?:\.{2,}|…+|\[(?:\.{2,}|…+)\]|\((?:이하\s*생략|생략|중략|계속|truncated|continued|more)\)"
     r"|�+|<[^<>\n]{0,12}|&#?\w{0,8};?|(?<=[A-Za-z])-))+\s*$"
 )
 #: Closing remarks behind a whole text.
@@ -33,6 +33,8 @@ REMARKS = (
 )
 #: A full stop behind a number may be the point of a longer number, so such a text is looked at.
 STOPPED = r"[^\d\s][.!?。]['\"”’)\]]*$"
+#: What may stand behind the last word of a cut text as if it were whole.
+STOP = re.compile(r"[.!?。]['\"”’)\]]*$")
 UNIT_END = re.compile(r"(?<=[^\d\s][.!?。])\s+|(?<=\d[.!?。])\s+(?=\D)|\s*\n\s*|;\s+|\s+/\s+")
 #: A word is common in its group (script, prose or notes) if at least this share of the units hold it. There are at most
 #: (mean words of a unit) / FRAME_SHARE such words, so they are sent to all tasks.
@@ -206,7 +208,8 @@ def align_end(cut: str, full: str) -> int:
 
     The words before the last must be 0.8 similar by five-word shingles to as many of ``full``; the
     three words before the last must stand in ``full`` near the same place, followed by a word that
-    begins with the last one.
+    begins with the last one. A full stop behind the last word may have been put there, so the word is
+    compared without it, and the text is whole only where ``full`` ends a unit too.
     """
     c, f = [w for w in _tokens(cut) if w], [w for w in _tokens(full) if w]
     m = len(c) - 1
@@ -220,14 +223,15 @@ def align_end(cut: str, full: str) -> int:
     b = shingles(f[: m + max(2, m // 10)])
     if len(a & b) < MIN_SIMILARITY * len(a):
         return -1
-    places = [j for j in range(3, len(f)) if f[j - 3 : j] == c[m - 3 : m] and f[j].startswith(c[m])]
+    word = STOP.sub("", c[m]) or c[m]
+    places = [j for j in range(3, len(f)) if f[j - 3 : j] == c[m - 3 : m] and f[j].startswith(word)]
     if not places:
         return -1
     j = min(places, key=lambda x: abs(x - m))
-    rest = f[j][len(c[m]) :]
-    if rest and rest not in (".", ";", "!", "?", "。"):
+    rest = f[j][len(word) :]
+    if rest and rest != ";" and not STOP.fullmatch(rest):
         return 1
-    if rest or c[m][-1] in ".;!?。" and not re.search(r"\d\.$", c[m]):
+    if rest or c[m][-1] == ";":
         return 0
     if j + 1 == len(f):
         return -1
@@ -265,13 +269,14 @@ def truncated(
 ) -> DataFrame:
     """One row per record: ``rec_id``, ``source``, ``is_cut``, ``evidence``.
 
-    ``evidence`` is ``none`` (null or blank text, or one that ends with a full stop), ``aligned`` (a
-    copy goes on or shows a complete unit), ``mark`` (something that marks a cut stands behind an
+    ``evidence`` is ``none`` (null or blank text, or one that ends with a full stop and that no copy
+    shows to be cut), ``aligned`` (a copy goes on or shows a complete unit), ``mark`` (something that marks a cut stands behind an
     incomplete text) or ``closing`` (closing word and frame). Copies of one text are judged once;
     repeated rows are kept; an empty table gives no rows. Other columns are ignored.
 
-    Near-copies come from min-hash bands of five-word shingles over heads of the texts: a text that
-    lacks a full stop is searched by its longest head among the heads of all texts. Each band bucket
+    Near-copies come from min-hash bands of five-word shingles over heads of the texts: a text is
+    searched by its longest head among the heads of all texts. One with a full stop is cut if a copy
+    goes on inside the unit and none ends it there. Each band bucket
     is reduced to its longest text and one other before the join, so a bucket of any size costs a row
     per task and no pairs are listed inside it. Words and frames are counted where the texts are and
     combined before each shuffle.
@@ -350,7 +355,7 @@ def truncated(
     buckets = heads.groupBy("key").agg(
         F.max(F.struct("n", "id")).alias("most"), F.min(F.struct(F.xxhash64("id"), "id")).alias("least")
     )
-    probes = open_texts.select(hashed, "body").mapInPandas(_heads(True), schema)
+    probes = texts.select(hashed, "body").mapInPandas(_heads(True), schema)
     pairs = (
         probes.join(buckets, "key")
         .select("id", F.explode(F.array("most.id", "least.id")).alias("copy"))
@@ -358,12 +363,12 @@ def truncated(
         .distinct()
     )
     aligned = (
-        pairs.join(open_texts.select("tid", hashed, F.col("body").alias("cut")), "id")
+        pairs.join(texts.select("tid", hashed, F.col("body").alias("cut")), "id")
         .join(texts.select(F.xxhash64("tid").alias("copy"), F.col("body").alias("full")), "copy")
         .select("tid", _align("cut", "full").alias("ends"))
         .filter("ends >= 0")
         .groupBy("tid")
-        .agg(F.max("ends").alias("ends"))
+        .agg(F.max("ends").alias("ends"), F.min("ends").alias("least_end"))
     )
     w_close, w_mid = F.coalesce(F.col("w_close"), F.lit(0)), F.coalesce(F.col("w_mid"), F.lit(0))
     f_close, f_mid = F.coalesce(F.col("f_close"), F.lit(0)), F.coalesce(F.col("f_mid"), F.lit(0))
@@ -383,9 +388,10 @@ def truncated(
         .otherwise(F.coalesce("n_longer", F.lit(0)) > 0)
     )
     verdicts = (
-        open_texts.select("tid", "marked")
-        .join(scored, "tid")
+        texts.select("tid", "marked", "open")
+        .join(scored, "tid", "left")
         .join(aligned, "tid", "left")
+        .filter(F.col("open") | (F.col("least_end") == 1))
         .select(
             "tid",
             F.when(F.col("ends").isNotNull(), F.col("ends") == 1).when(F.col("marked"), True).otherwise(closing).alias("is_cut"),

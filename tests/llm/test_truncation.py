@@ -84,3 +84,26 @@ def test_alignment():
 def test_heads_are_similar_enough():
     """The head a cut text is searched by has at least 0.8 of its words, beyond the shortest ones."""
     assert all(b <= a / 0.8 + 1 for a, b in zip(LADDER, LADDER[1:]))
+
+
+def test_stops_behind_a_cut(spark):
+    """Two dots are a mark of a cut; a single full stop doesn't hide one from a copy that goes on."""
+    rng = random.Random(5)
+    full = [abstract(rng) for _ in range(60)]
+    cuts = [t[: t.rindex(" ", 0, len(t) - 8) + 2] for t in full[:20]]
+    rows = [*full, *[c + ".." for c in cuts[:8]], *[c + "." for c in cuts[8:16]], *[c + ".)" for c in cuts[16:]]]
+    rows += [t[: t.rindex(". ") + 1] for t in full[20:40]]  # whole sentences of longer copies
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "rec_id long, source string, astrtCont string")
+    got = {r.rec_id: (r.is_cut, r.evidence) for r in truncated(df).collect()}
+    assert {i for i, v in got.items() if v[0]} == set(range(60, 80)), got
+    assert {got[i] for i in range(60, 80)} == {(True, "aligned")} and got[80] == (False, "none")
+    lone = abstract(rng)[:-6] + ".."
+    assert truncated(spark.createDataFrame([(1, "s", lone)], df.schema)).first().evidence == "mark"
+
+
+def test_alignment_behind_a_stop():
+    full = "one two three four five six seven eight 12.5 mm. nine ten"
+    assert align_end("one two three four five six sev.", full) == 1
+    assert align_end("one two three four five six seven.", full) == 1
+    assert align_end("one two three four five six seven eight 12.", full) == 1
+    assert align_end("one two three four five six seven eight 12.5 mm.", full) == 0
