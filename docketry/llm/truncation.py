@@ -156,7 +156,7 @@ def _tokens(body: str) -> list[str]:
 
 
 def _heads(top_only: bool):
-    """Band keys of the heads of each text: (key, id, words). ``top_only``: of its longest head."""
+    """Band keys of the heads of each text: (key, id, characters). ``top_only``: of its longest head."""
 
     def heads(batches):
         for batch in batches:
@@ -165,6 +165,7 @@ def _heads(top_only: bool):
             kept = [i for i, w in enumerate(split) if len(w) > SHINGLE]
             ids = batch["id"].to_numpy()[kept]
             sizes = np.array([len(split[i]) for i in kept], np.int64)
+            chars = batch["body"].str.len().to_numpy()[kept]
             if not kept:
                 continue
             h = np.array([xxhash.xxh64_intdigest(w) for i in kept for w in split[i][:-1]], np.uint64)
@@ -196,7 +197,7 @@ def _heads(top_only: bool):
                     {
                         "key": key.view(np.int64).ravel(),
                         "id": np.repeat(ids[out], BANDS),
-                        "n": np.repeat(sizes[out].astype(np.int32), BANDS),
+                        "n": np.repeat(chars[out].astype(np.int32), BANDS),
                     }
                 )
 
@@ -276,9 +277,9 @@ def truncated(
 
     Near-copies come from min-hash bands of five-word shingles over heads of the texts: a text is
     searched by its longest head among the heads of all texts. One with a full stop is cut if a copy
-    goes on inside the unit and none ends it there. Each band bucket
-    is reduced to its longest text and one other before the join, so a bucket of any size costs a row
-    per task and no pairs are listed inside it. Words and frames are counted where the texts are and
+    goes on inside the unit and none ends it there. All
+    texts of a band bucket are compared with the text, so the pairs grow with what texts have in
+    common; of a bucket, only those with a text for which it is the longest head are listed. Words and frames are counted where the texts are and
     combined before each shuffle.
     """
     spark = df.sparkSession
@@ -351,17 +352,10 @@ def truncated(
     # every candidate is verified by its alignment.
     hashed = F.xxhash64("tid").alias("id")
     schema = "key long, id long, n int"
-    heads = texts.select(hashed, "body").mapInPandas(_heads(False), schema)
-    buckets = heads.groupBy("key").agg(
-        F.max(F.struct("n", "id")).alias("most"), F.min(F.struct(F.xxhash64("id"), "id")).alias("least")
-    )
+    # All texts of a bucket are candidates; one that isn't longer can't go on.
+    heads = texts.select(hashed, "body").mapInPandas(_heads(False), schema).select("key", F.col("id").alias("copy"), F.col("n").alias("n_copy"))
     probes = texts.select(hashed, "body").mapInPandas(_heads(True), schema)
-    pairs = (
-        probes.join(buckets, "key")
-        .select("id", F.explode(F.array("most.id", "least.id")).alias("copy"))
-        .filter("id <> copy")
-        .distinct()
-    )
+    pairs = probes.join(heads, "key").filter("id <> copy and n_copy > n").select("id", "copy").distinct()
     aligned = (
         pairs.join(texts.select("tid", hashed, F.col("body").alias("cut")), "id")
         .join(texts.select(F.xxhash64("tid").alias("copy"), F.col("body").alias("full")), "copy")

@@ -107,3 +107,15 @@ def test_alignment_behind_a_stop():
     assert align_end("one two three four five six seven.", full) == 1
     assert align_end("one two three four five six seven eight 12.", full) == 1
     assert align_end("one two three four five six seven eight 12.5 mm.", full) == 0
+
+
+def test_every_copy_of_a_crowded_bucket(spark):
+    """The copy that goes on is found among many other texts with the same opening."""
+    opening = "The controller reads the current level "
+    words = ["".join(random.Random(i).choices("bcdfghklmnprst", k=9)) for i in range(40)]
+    rows = [opening + w + " of the tank " + "and again " * i + "stops." for i, w in enumerate(words)]
+    rows += [opening + w[:6] for w in words] + [opening + w[:6] + "." for w in words[:5]]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "rec_id long, source string, astrtCont string")
+    got = {r.rec_id: (r.is_cut, r.evidence) for r in truncated(df).collect()}
+    assert {got[i] for i in range(40, 85)} == {(True, "aligned")}
+    assert not any(got[i][0] for i in range(40))
