@@ -137,8 +137,8 @@ def plain_form(col: Column) -> Column:
 
 
 def composed(col: Column) -> Column:
-    """Canonical composition. Only values with parts to compose are sent to Python."""
-    return F.coalesce(_composed(F.when(col.rlike(DECOMPOSED), col)), col)
+    """Canonical composition. Only values with an unusual character are sent to Python; NFC leaves all others."""
+    return F.coalesce(_composed(F.when(col.rlike(_UNUSUAL), col)), col)
 
 
 def uniform_text(

@@ -39,3 +39,11 @@ def test_equal_looks_become_equal(spark):
     forms = ["PTC 냉각", "РТС 냉각", "ＰＴＣ 냉각", "PTC 냉각", unicodedata.normalize("NFD", "PTC 냉각"), "P​TC 냉각"]
     df = spark.createDataFrame(list(enumerate(forms)), "rec_id long, t string")
     assert {r.canonical for r in uniform_text(df, ("t",)).collect()} == {"PTC 냉각"}
+
+
+def test_everything_nfc_changes_is_odd(spark):
+    """Characters that composition replaces are odd without an ordinary twin among the values."""
+    values = ["\uf900 a", "b\u037e", "c\u0387d", "\u2329e\u232a", "f\u1fef", "\u304b\u3099"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "rec_id long, a string")
+    got = {r.value: (r.canonical, r.odd) for r in uniform_text(df, ("a",)).collect()}
+    assert got == {v: (unicodedata.normalize("NFC", v), True) for v in values}
