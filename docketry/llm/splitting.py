@@ -14,7 +14,7 @@ from docketry.llm.tokens import VOCABULARY, encoding
 #: Limits of documents without a source, or of one the plan doesn't name.
 DEFAULT_MAX, DEFAULT_OVERLAP = 512, 64
 #: A piece that isn't the last one has at least this share of the tokens it may have, so that a
-#: strong boundary near its start doesn't make it tiny.
+#: strong boundary near its start doesn't make it tiny, unless a word would have to be cut.
 MIN_FILL = 0.5
 #: The index over boundary strengths is built for so many tokens at a time.
 INDEX_TOKENS = 1 << 20
@@ -188,6 +188,10 @@ class Splitter:
                         index = StrongestCut(cut[base : base + INDEX_TOKENS + limit + 1], limit + 1)
                     lo = min(max(s + least, before + 1), hi)
                     e = base + index.query(lo - base, hi - base)
+                    first = max(s, before) + 1
+                    if cut[e] <= INSIDE and first < lo:  # a short piece before a cut word
+                        early = base + index.query(first - base, lo - 1 - base)
+                        e = early if cut[early] > INSIDE else e
                     while e > max(s, before) and cut[e] == BROKEN:  # the nearest character's end before it
                         e -= 1
                 if e <= max(s, before):

@@ -73,3 +73,11 @@ def test_operator(spark):
     assert sum(r.doc_id == 1 and r.piece == 0 for r in rows) == 2
     assert split_oversized(docs.limit(0), plan).count() == 0
     assert {r.doc_id for r in split_oversized(docs, plan.limit(0)).collect()} == {3}
+
+
+def test_early_boundary_before_a_cut_word(splitter):
+    rng = random.Random(3)
+    text = "The first line stands by itself.\n" + "".join(rng.choice("abcdefghij") for _ in range(3000))
+    pieces = splitter.split(text, 100, 10)
+    assert pieces[0][3].strip() == "The first line stands by itself."
+    assert all(a[0] < b[0] <= a[1] < b[1] for a, b in zip(pieces, pieces[1:])) and pieces[-1][1] == len(text)
