@@ -23,7 +23,9 @@ INDEX_TOKENS = 1 << 20
 HEADING, PARAGRAPH, LINE, SENTENCE, CLAUSE, COMMA, BLANK, INSIDE, BROKEN = 8, 7, 6, 5, 4, 3, 2, 1, 0
 _HEADING = re.compile(rb"#{1,6} |\xe3\x80\x90|Claim \d|\d+(?:\.\d+)*\.? \S|[IVX]+\. ")
 _WIDE_SPACE = re.compile(rb"(?:\xe3\x80\x80|\xc2\xa0|\xe2\x80[\x80-\x8a])+")
-#: Strength of a blank by the byte before it; the last byte of the ideographic full stop is 0x82.
+#: Ends of units in scripts written without blanks, with closing quotes and brackets behind them.
+_WIDE_STOP = re.compile("(?:((?:。|！|？)+)|((?:；)+)|(?:，|、)+)(?:」|』|）|】|”|’)*".encode())
+#: Strength of a blank by the byte before it.
 _AFTER = np.full(256, BLANK, np.int8)
 _AFTER[list(b".!?")] = SENTENCE
 _AFTER[list(b";:")] = CLAUSE
@@ -43,6 +45,9 @@ def strengths(raw: bytes) -> np.ndarray:
         for m in _WIDE_SPACE.finditer(raw):
             part = out[m.start() : m.end() + 1]
             part[part != BROKEN] = BLANK
+    if b"\xe3\x80" in raw or b"\xef\xbc" in raw:
+        for m in _WIDE_STOP.finditer(raw):
+            out[m.end()] = SENTENCE if m[1] else CLAUSE if m[2] else COMMA
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([False], blank, [False])).astype(np.int8))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -50,8 +55,7 @@ def strengths(raw: bytes) -> np.ndarray:
         return out
     value = _AFTER[data[begin - 1]]
     value[begin == 0] = BLANK
-    if b"\xe3\x80\x82" in raw:
-        value[[raw[max(0, x - 3) : x] == b"\xe3\x80\x82" for x in begin.tolist()]] = SENTENCE
+    value = np.maximum(value, out[begin])
     lines = np.concatenate(([0], np.cumsum(data == 10)))
     lines = lines[end] - lines[begin]
     value[lines == 1] = LINE

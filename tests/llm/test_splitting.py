@@ -81,3 +81,10 @@ def test_early_boundary_before_a_cut_word(splitter):
     pieces = splitter.split(text, 100, 10)
     assert pieces[0][3].strip() == "The first line stands by itself."
     assert all(a[0] < b[0] <= a[1] < b[1] for a, b in zip(pieces, pieces[1:])) and pieces[-1][1] == len(text)
+
+
+def test_ends_without_blanks(splitter):
+    s = strengths("甲。乙，丙；丁！」戊、己。 庚".encode())
+    assert [int(s[3 * i]) for i in (2, 4, 6, 9, 11, 13)] == [5, 3, 4, 5, 3, 5] and s[3 * 8] == 1
+    text = "".join("電池を冷却する装置" + "水" * (i % 7) + "を備える。" for i in range(200))
+    assert all(p[3].endswith("。") for p in splitter.split(text, 120, 10))
