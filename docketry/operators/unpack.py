@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import text_or_empty
 
-#: Candidate delimiters: name and pattern. A list number such as ``2)`` opens a piece.
+#: Candidate delimiters: name, pattern in the text, pattern in the shape (the text with § for each code).
+#: A list number such as ``2)`` opens a piece; blanks are only looked at beside a code.
 CANDIDATES = (
-    ("semicolon", r"\s*;\s*"),
-    ("bar", r"\s*\|\s*"),
-    ("comma", r"\s*,\s*"),
-    ("line", r"[ \t]*[\r\n]+\s*"),
-    ("dot", r"\s*·\s*"),
-    ("list number", r"(?:^|\s+)\d{1,2}\)\s*"),
-    ("blanks", r"(?:\t|[ ]{2,})\s*(?=[A-HY]\d{2}[A-Z])"),
-    ("blank", r"\s+(?=[A-HY]\d{2}[A-Z])"),
+    ("semicolon", ";", ";"),
+    ("bar", r"\|", r"\|"),
+    ("comma", ",", ","),
+    ("line", r"[\r\n]+", r"[\r\n]+"),
+    ("dot", "·", "·"),
+    ("slash", "／", "／"),
+    ("list number", r"(?:^|\s)\d{1,2}\)", r"(?:^|\s)\d{1,2}\)"),
+    (
+        "blank",
+        # Before a subclass; behind a whole code; behind a subclass that no group follows.
+        r"(?<=[^\s;|,·／)])[ \t]+(?=[A-HY]\d{2}[A-Z])|(?<=/[ \t]?\d{2,6}|\d{10})[ \t]+(?=[^\s;|,·／])(?!\d{1,2}\))"
+        r"|(?<=[A-HY]\d{2}[A-Z])[ \t]+(?=[^\s\d\-;|,·／]|-$|-[ \t]+[A-HY]\d{2}[A-Z])",
+        r"(?<=§)[ \t]+(?=[^\s;|,·／])(?!\d{1,2}\))|(?<=[^\s;|,·／)])[ \t]+(?=§)",
+    ),
 )
-#: A candidate is a delimiter of a source if at least this share of its pieces are codes...
+#: Marks that are dropped around a value and around a piece.
+OUTER = r"^(?:[\s;|,·／]|\d{1,2}\)\s)+|[\s;|,·／]+$"
+#: A candidate is a delimiter where at least this share of the pieces are codes or place-holders...
 MIN_REGULAR = 0.5
-#: ... and the values it occurs in fall into more than one piece at least this often.
+#: ... and it cuts at least this share of the values that hold it into more than one piece with content.
 MIN_CONSISTENT = 0.5
 
 _SUBCLASS = r"[A-HY]\d{2}[A-Z]"
@@ -30,50 +39,69 @@ CODE = rf"{_SUBCLASS}\d{{10}}|{_SUBCLASS}[\s\-]*{_GROUP}|{_SUBCLASS}|(?<![\d/]){
 
 
 def bare(col: Column) -> Column:
-    """Upper case without remarks in parentheses, quotes and brackets."""
+    """Upper case without remarks in parentheses, quotes, brackets and marks at both ends."""
     text = F.upper(text_or_empty(col))
     text = F.regexp_replace(text, r"\([^()]*\)", " ")
     text = F.regexp_replace(text, r"\([^()]*$", " ")
-    return F.trim(F.regexp_replace(text, r"[\"'“”‘’\[\]{}]", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"[\"'“”‘’\[\]{}]", ""), OUTER, "")
 
 
-def _is_code(piece: Column) -> Column:
-    return piece.rlike(rf"^\s*(?:{CODE})\s*$")
+def layout(text: Column) -> Column:
+    """Names of the candidates that occur in a value, joined by ``+``: values of one layout are inferred together."""
+    return F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p, _ in CANDIDATES])), "+")
 
 
-def delimiter_scores(df: DataFrame, value: str = "ipcNumber", source: str = "source") -> DataFrame:
-    """Per source and candidate: rows it occurs in, consistency, regularity, accepted.
+def _cut(text: Column, patterns: list[str]) -> Column:
+    """Trimmed pieces with content."""
+    for pattern in patterns:
+        text = F.regexp_replace(text, pattern, "\u0001")
+    return F.filter(F.transform(F.split(text, "\u0001"), lambda p: F.regexp_replace(p, OUTER, "")), lambda p: p != "")
+
 
-    ``consistency`` is the share of the rows containing the candidate that split into two or more
-    pieces with content (a mere trailing delimiter does not); ``regularity`` is the share of pieces
-    that are one code. Each candidate is scored on the pieces that all candidates give together
-    around it: the other candidates' characters count as blanks at piece ends. A null source is a
-    source of its own. One combined aggregate; the result has one row per source and candidate.
+def delimiter_scores(df: DataFrame, value: str = "ipcNumber", source: str = "source") -> DataFrame:
+    """Per source, layout and candidate: ``n_values``, ``consistency``, ``regularity``, ``gain``, ``accepted``.
+
+    A layout is the set of candidates that occur in a value, so a feed that packs its codes in several
+    ways is inferred way by way. ``consistency`` is the share of the values that the candidate alone
+    cuts into two or more pieces with content. ``regularity`` is the share of the pieces, cut at all
+    candidates of the layout, that are of a known type: one code, or a place-holder (no digit, no code).
+    ``gain`` is how many more pieces are one code than if this candidate were left out: what only
+    decorates gains nothing. A null source is a source of its own; blank and null values and values
+    without any candidate score nothing; an empty table gives no rows.
+
+    Values are first reduced to their shape, each code one sign, and equal shapes are counted where
+    they are, so the scores are worked out over few short strings.
     """
-    base = df.select(F.col(source).alias("source"), bare(F.col(value)).alias("text")).filter("text <> ''")
-    others = r"[\s;|,·]+"
-    stats = []
-    for i, (name, pattern) in enumerate(CANDIDATES):
-        marked = F.regexp_replace(F.col("text"), pattern, "\u0001")
-        # Every other separator is cut as well, but only pieces next to this candidate are judged.
-        pieces = F.filter(F.split(marked, "\u0001"), lambda p: F.trim(F.regexp_replace(p, others, " ")) != "")
-        first = F.transform(pieces, lambda p: F.regexp_extract(F.concat(F.lit(";"), p), r"[;|,·\n\t]\s*([^;|,·\n\t]*)[;|,·\s]*$", 1))
-        stats.append(
+    base = df.select(F.col(source).alias("source"), bare(F.col(value)).alias("text")).select("source", layout(F.col("text")).alias("layout"), "text").filter("layout <> ''")
+    shape = F.regexp_replace("text", CODE, "§")
+    shapes = base.groupBy("source", "layout", shape.alias("shape")).agg(F.count("*").alias("n"))
+
+    def codes(pieces: Column) -> Column:
+        return F.size(F.filter(pieces, lambda p: p == "§"))
+
+    every = _cut(F.col("shape"), [p for _, _, p in CANDIDATES])
+    counted = shapes.withColumns({"pieces": F.size(every), "codes": codes(every), "typed": F.size(F.filter(every, lambda p: (p == "§") | ~p.rlike(r"[\d§]")))})
+    stats = [
+        F.when(
+            F.array_contains(F.split("layout", r"\+"), name),
             F.struct(
                 F.lit(name).alias("delimiter"),
-                F.col("text").rlike(pattern).alias("has"),
-                F.size(pieces).alias("pieces"),
-                F.size(F.filter(first, _is_code)).alias("codes"),
-            )
+                (F.size(_cut(F.col("shape"), [pattern])) > 1).alias("cuts"),
+                codes(_cut(F.col("shape"), [p for m, _, p in CANDIDATES if m != name])).alias("without"),
+            ),
         )
-    long = base.select("source", F.explode(F.array(*stats)).alias("s")).select("source", "s.*").filter("has")
-    scored = long.groupBy("source", "delimiter").agg(
-        F.count("*").alias("n_rows"),
-        F.avg(F.when(F.col("pieces") > 1, 1.0).otherwise(0.0)).alias("consistency"),
-        (F.sum("codes") / F.greatest(F.sum("pieces"), F.lit(1))).alias("regularity"),
+        for name, _, pattern in CANDIDATES
+    ]
+    long = counted.select("source", "layout", "n", "pieces", "codes", "typed", F.explode(F.array_compact(F.array(*stats))).alias("s"))
+    n = F.col("n")
+    scored = long.groupBy("source", "layout", F.col("s.delimiter").alias("delimiter")).agg(
+        F.sum(n).alias("n_values"),
+        (F.sum(F.when(F.col("s.cuts"), n).otherwise(0)) / F.sum(n)).alias("consistency"),
+        (F.sum(n * F.col("typed")) / F.greatest(F.sum(n * F.col("pieces")), F.lit(1))).alias("regularity"),
+        F.sum(n * (F.col("codes") - F.col("s.without"))).alias("gain"),
     )
     return scored.withColumn(
-        "accepted", (F.col("consistency") >= MIN_CONSISTENT) & (F.col("regularity") >= MIN_REGULAR)
+        "accepted", (F.col("consistency") >= MIN_CONSISTENT) & (F.col("regularity") >= MIN_REGULAR) & (F.col("gain") > 0)
     )
 
 
@@ -98,34 +126,30 @@ def unpack_codes(
 ) -> DataFrame:
     """One row per code: ``rec_id``, ``pos`` (from 1 in written order), ``ipc_code``.
 
-    Each source's accepted delimiters (:func:`delimiter_scores`) cut its values into pieces; every
-    piece is read as codes, and one that still holds several, because it uses a delimiter its source
-    otherwise doesn't, gives them in order. A group without a subclass takes that of the code before
-    it; without any before it, it is no code. Remarks, place-holders, blank and null values give no
-    rows; repeated codes and repeated rows are kept. Other columns are ignored.
+    The delimiters accepted for a value's source and layout (:func:`delimiter_scores`) cut it into
+    pieces, and a piece is one code or gives no row. A group without a subclass takes that of the code
+    before it; without any before it, it is no code. Remarks, place-holders, blank and null values
+    give no rows; repeated codes and repeated rows are kept. Other columns are ignored.
 
     All work but the scores is inside one scan without a shuffle; the scores hold one row per source
-    and are joined by source, as a broadcast when they are small.
+    and layout and are joined, as a broadcast when they are small.
     """
     accepted = (
         delimiter_scores(df, value, source)
-        .groupBy("source")
-        .agg(F.collect_set(F.when(F.col("accepted"), F.col("delimiter"))).alias("delimiters"))
-        .withColumnRenamed("source", "s")
+        .filter("accepted")
+        .groupBy(F.col("source").alias("s"), F.col("layout").alias("l"))
+        .agg(F.collect_set("delimiter").alias("delimiters"))
     )
     base = df.select(F.col(id_col).alias("rec_id"), F.col(source).alias("src"), bare(F.col(value)).alias("text")).filter(
         "text <> ''"
     )
-    joined = base.join(accepted, F.col("src").eqNullSafe(F.col("s")), "left")
+    base = base.withColumn("layout", layout(F.col("text")))
+    joined = base.join(accepted, F.col("src").eqNullSafe(F.col("s")) & (F.col("layout") == F.col("l")), "left")
     cut = F.col("text")
-    for name, pattern in CANDIDATES:
-        cut = F.when(
-            F.array_contains(F.coalesce("delimiters", F.array().cast("array<string>")), name),
-            F.regexp_replace(cut, pattern, "\u0001"),
-        ).otherwise(cut)
-    tokens = F.flatten(
-        F.transform(F.split(cut, "\u0001"), lambda p: F.regexp_extract_all(p, F.lit(f"({CODE})"), F.lit(1)))
-    )
+    for name, pattern, _ in CANDIDATES:
+        cut = F.when(F.array_contains("delimiters", name), F.regexp_replace(cut, pattern, "\u0001")).otherwise(cut)
+    pieces = F.transform(F.split(cut, "\u0001"), lambda p: F.regexp_replace(p, OUTER, ""))
+    tokens = F.filter(pieces, lambda p: p.rlike(f"^(?:{CODE})$"))
     start = F.struct(F.lit("").alias("sub"), F.array().cast("array<string>").alias("codes"))
 
     def step(acc: Column, code: Column) -> Column:

@@ -434,6 +434,44 @@ def p5_found(spark, d):
     return unpack_codes(table(spark, d, "patent_utility_info"))
 
 
-@query("p5_delimiters")
+_MARKS = {"semicolon": ";", "bar": r"\|", "comma": ",", "line": r"[\r\n]+", "dot": "·", "slash": "／", "list number": r"(?:^|\s)\d{1,2}\)"}
+_BLANKS = (r"(§)[ \t]+([^\s;|,·／\d])", r"([^\s;|,·／)])[ \t]+(§)")
+_OUTER = r"^(?:[\s;|,·／]|\d{1,2}\)\s)+|[\s;|,·／]+$"
+
+
+def _pieces_sql(names: list[str]) -> str:
+    cut = "shape"
+    for name in names:
+        if name == "blank":
+            for pattern in _BLANKS * 2:
+                cut = f"regexp_replace({cut}, '{pattern}', '\\1' || chr(1) || '\\2', 'g')"
+        else:
+            cut = f"regexp_replace({cut}, '{_MARKS[name]}', chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(1)), lambda p: regexp_replace(p, '{_OUTER}', '', 'g')), lambda p: p <> '')"
+
+
+_EVERY = [*_MARKS, "blank"]
+_SCORES = " UNION ALL ".join(
+    f"""SELECT source, layout, '{name}' AS delimiter, n, len(list_filter(every, lambda p: p = '§')) AS codes,
+      len(every) AS pieces, len(list_filter(every, lambda p: p = '§' OR NOT regexp_matches(p, '[\\d§]'))) AS typed,
+      len({_pieces_sql([name])}) > 1 AS cuts, len(list_filter({_pieces_sql([x for x in _EVERY if x != name])}, lambda p: p = '§')) AS without
+    FROM shapes WHERE list_contains(string_split(layout, '+'), '{name}')"""
+    for name in _EVERY
+)
+_HAS = ", ".join(f"CASE WHEN regexp_matches(shape, '{p}') THEN '{n}' END" for n, p in {**_MARKS, "blank": "|".join(_BLANKS)}.items())
+
+
+@query(
+    "p5_delimiters",
+    f"""WITH t AS (SELECT source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce("ipcNumber", '')), '\\([^()]*\\)', ' ', 'g'),
+        '\\([^()]*$', ' ', 'g'), '["''“”‘’\\[\\]{{}}]', '', 'g'), '{_OUTER}', '', 'g') AS text FROM patent_utility_info),
+    s AS (SELECT source, regexp_replace(text, '{_CODE_SQL}', '§', 'g') AS shape FROM t),
+    l AS (SELECT source, shape, array_to_string(list_filter([{_HAS}], lambda x: x IS NOT NULL), '+') AS layout FROM s),
+    shapes AS (SELECT source, layout, shape, count(*) AS n, {_pieces_sql(_EVERY)} AS every FROM l WHERE layout <> '' GROUP BY ALL),
+    scores AS ({_SCORES})
+    SELECT source, layout, delimiter, sum(n)::BIGINT AS n_values, sum(CASE WHEN cuts THEN n ELSE 0 END) / sum(n) AS consistency,
+      sum(n * typed) / greatest(sum(n * pieces), 1) AS regularity, sum(n * (codes - without))::BIGINT AS gain,
+      consistency >= 0.5 AND regularity >= 0.5 AND gain > 0 AS accepted FROM scores GROUP BY source, layout, delimiter""",
+)
 def p5_delimiters(spark, d):
     return delimiter_scores(table(spark, d, "patent_utility_info"))

@@ -144,5 +144,25 @@ def test_unpack(spark):
 def test_delimiters_are_told_apart(spark):
     rows = [(i, "H01M 1/02; B60L 3/04" if i % 2 else "H01M, 1/02", "s") for i in range(10)]
     df = spark.createDataFrame(rows, "rec_id long, ipcNumber string, source string")
-    got = {r.delimiter: r.accepted for r in delimiter_scores(df).collect()}
-    assert got["semicolon"]
+    got = {(r.layout, r.delimiter): r.accepted for r in delimiter_scores(df).collect()}
+    assert got == {("semicolon", "semicolon"): True, ("comma", "comma"): True}
+
+
+def test_delimiters_make_the_rows(spark, monkeypatch):
+    """A mark that separates nothing but codes is a delimiter; without inference packed values give no code."""
+    rows = [(1, "A01B 1/00; A01B 2/00", "s"), (2, "H01M 1/02", "s"), (3, "about 12, see; H01M 1/02 (x), 7 of 9, 8", "t")]
+    df = spark.createDataFrame(rows, "rec_id long, ipcNumber string, source string")
+    codes = lambda: sorted((r.rec_id, r.ipc_code) for r in unpack_codes(df).collect())
+    assert codes() == [(1, "A01B 1/00"), (1, "A01B 2/00"), (2, "H01M 1/02")]
+    assert {r.delimiter: r.accepted for r in delimiter_scores(df).filter("source = 't'").collect()} == {"semicolon": False, "comma": False}
+    monkeypatch.setattr("docketry.operators.unpack.MIN_REGULAR", 2.0)
+    assert codes() == [(2, "H01M 1/02")]
+
+
+def test_place_holders_beside_codes(spark):
+    cases = ["- H01M 1/02 N/A", "H01M -", "미부여 H01M", "H01M 1/02\t-\tB60L 2/00 12/04", "1) H01M 2) 미부여 3) B60L 1/00"]
+    df = spark.createDataFrame([(i, c, f"s{i}") for i, c in enumerate(cases)], "rec_id long, ipcNumber string, source string")
+    got = defaultdict(list)
+    for r in unpack_codes(df).orderBy("rec_id", "pos").collect():
+        got[r.rec_id].append(r.ipc_code)
+    assert [got[i] for i in range(len(cases))] == [["H01M 1/02"], ["H01M"], ["H01M"], ["H01M 1/02", "B60L 2/00", "B60L 12/04"], ["H01M", "B60L 1/00"]]
