@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import digits_key, squeeze
-
-#: Up to this many snapshot numbers are put into the plan as a literal; more are joined instead.
-MAX_LITERAL_SNAPSHOTS = 10_000
+from docketry.session import materialize
 
 
 def _with_next(states: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Add ``first`` (is it the first snapshot) and ``next`` (number of the following one or null)."""
-    known = [r[0] for r in numbers.limit(MAX_LITERAL_SNAPSHOTS + 1).collect()]
-    if len(known) <= MAX_LITERAL_SNAPSHOTS:
-        known.sort()
-        if len(known) < 2:
-            return states.withColumns({"first": F.lit(True), "next": F.lit(None).cast("int")})
-        pairs = [F.lit(x).cast("int") for pair in zip(known, known[1:]) for x in pair]
-        following = F.try_element_at(F.create_map(*pairs), F.col("snapshot"))
-        return states.withColumns({"first": F.col("snapshot") == known[0], "next": following})
-    from pyspark.sql import Window
+    """Add ``first`` (is it the first snapshot) and ``next`` (number of the following one or null).
 
+    The chain has a row per delivery and is written, so its size is known when the join is planned:
+    Spark broadcasts it unless there are very many deliveries, and joins by number then, where no
+    single delivery holds much of the table.
+    """
     order = Window.orderBy("snapshot")
     chain = numbers.select(
         "snapshot", F.lag("snapshot").over(order).isNull().alias("first"), F.lead("snapshot").over(order).alias("next")
     )
-    return states.join(chain, "snapshot")
+    return states.join(materialize(chain, "snapshot-chain"), "snapshot")
 
 
 def snapshot_changes(

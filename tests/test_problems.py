@@ -48,15 +48,23 @@ def test_snapshots(spark):
     assert snapshot_changes(df.filter("snapshot_no = 1")).count() == 0
 
 
-def test_snapshots_joined_numbers(spark, monkeypatch):
-    from docketry.operators import snapshots as S
-
+def test_snapshots_against_plain_python(spark):
+    """With the chain of numbers broadcast or not."""
     rng = random.Random(1)
     rows = [(n, "2026-01-01", f"10202000000{k:02d}", rng.choice("ab"), rng.choice("xy")) for n in (1, 2, 5, 9) for k in range(40) if rng.random() < 0.7]
+    by = defaultdict(dict)
+    for n, _, k, a, s in rows:
+        by[n][k] = (a, s)
+    want = []
+    for old, new in ((1, 2), (2, 5), (5, 9)):
+        for k in by[old].keys() | by[new].keys():
+            if by[old].get(k) != by[new].get(k):
+                want.append((new, k, "added" if k not in by[old] else "removed" if k not in by[new] else "changed"))
     df = snapshots(spark, rows)
-    plain = sorted(map(tuple, snapshot_changes(df).drop("changed_fields").collect()))
-    monkeypatch.setattr(S, "MAX_LITERAL_SNAPSHOTS", 2)
-    assert sorted(map(tuple, snapshot_changes(df).drop("changed_fields").collect())) == plain and plain
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in ("-1", before):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert sorted(map(tuple, snapshot_changes(df).drop("changed_fields").collect())) == sorted(want)
 
 
 FIELDS = ("registerStatusAtDecision", "applicantNameAtDecision", "ipcNumberAtDecision")
