@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import digits_key, squeeze
+from docketry.session import materialize
 
 #: Length in seconds of the time slices into which the history of one key is cut for ordering.
 SLICE_SECONDS = 7 * 86_400
@@ -21,13 +22,18 @@ def instant(col: Column) -> Column:
     return F.try_to_timestamp(F.replace(F.replace(zoned, F.lit(" ")), F.lit(","), F.lit(".")))
 
 
+def _sliced(df: DataFrame, at: str) -> DataFrame:
+    """Add the time slice of each row."""
+    return df.withColumn("slice", F.floor(F.unix_seconds(at) / F.lit(SLICE_SECONDS)))
+
+
 def _numbered(df: DataFrame, at: str) -> DataFrame:
     """Add ``n``, the 1-based position of each row in its key, ordered by ``at`` (unique in a key).
 
     Rows are numbered inside (key, time slice) and shifted by the rows of the key's earlier slices,
     so no task holds the whole history of a hot key; only the counts per slice are gathered by key.
     """
-    sliced = df.withColumn("slice", F.floor(F.unix_seconds(at) / F.lit(SLICE_SECONDS)))
+    sliced = _sliced(df, at)
     counts = sliced.groupBy("key", "slice").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("key", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skip"))
@@ -42,7 +48,7 @@ def _numbered(df: DataFrame, at: str) -> DataFrame:
 
 def _lead_by_slice(df: DataFrame, at: str, name: str) -> DataFrame:
     """``lead(at)`` of the key's rows: inside the slice, else the first value of the next slice."""
-    sliced = df.withColumn("slice", F.floor(F.unix_seconds(at) / F.lit(SLICE_SECONDS)))
+    sliced = _sliced(df, at)
     firsts = sliced.groupBy("key", "slice").agg(F.min(at).alias("first"))
     following = firsts.select(
         "key", "slice", F.lead("first").over(Window.partitionBy("key").orderBy("slice")).alias("after")
@@ -71,8 +77,10 @@ def change_events(
     Result: ``key``, ``at`` (timestamp; null for ``deleted``), ``event`` (``inserted``, ``changed``,
     ``deleted``) and the cleaned fields. The k-th entries of all keys form the k-th snapshot;
     consecutive snapshots meet in a full outer join on (key, k) with null-safe comparison: only on the
-    right is inserted, on both sides and different is changed, only on the left is deleted, which here
-    marks the end of what is known of a key. Of entries at one instant the lowest ``order`` holds;
+    right is inserted, on both sides and different is changed, only on the left is deleted. A log
+    doesn't say that an application ceased, so ``deleted`` marks the end of what is known of a key: there
+    is one per key, behind its last entry. The comparison is by a 128-bit digest of the values, so
+    strings that aren't asked for go no further than the table of usable entries. Of entries at one instant the lowest ``order`` holds;
     of rows equal in that too the least values hold. Rows with a null key or time are left out.
     """
     values = F.struct(*[clean(F.col(f)).alias(f) for f in fields])
@@ -85,13 +93,16 @@ def change_events(
     one = usable.groupBy("key", "at").agg(
         F.min_by("values", F.struct(F.col("o").isNull(), "o", "values")).alias("values")
     )
-    numbered = _numbered(one, "at").select("key", "n", "at", "values")
-    previous = numbered.select("key", (F.col("n") + 1).alias("n"), F.col("values").alias("old"), F.lit(True).alias("had"))
+    one = one.withColumn("digest", F.unhex(F.md5(F.to_json("values", {"ignoreNullFields": "false"}))))
+    # Numbers, both sides of the join and the slices are made from it; written, it is read and reduced once.
+    one = materialize(one, "entries")
+    numbered = _numbered(one, "at").select("key", "n", "at", "digest", "values")
+    previous = numbered.select("key", (F.col("n") + 1).alias("n"), F.col("digest").alias("old"), F.lit(True).alias("had"))
     both = numbered.withColumn("has", F.lit(True)).join(previous, ["key", "n"], "full_outer")
     event = (
         F.when(F.col("had").isNull(), "inserted")
         .when(F.col("has").isNull(), "deleted")
-        .when(~F.col("values").eqNullSafe(F.col("old")), "changed")
+        .when(~F.col("digest").eqNullSafe(F.col("old")), "changed")
     )
     return (
         both.withColumn("event", event)
