@@ -68,7 +68,7 @@ STOP_WORDS = frozenset(
 
 @dataclass(frozen=True)
 class ScoringConfig:
-    """Weights, thresholds and word lists. The defaults are the published scoring table."""
+    """Weights, thresholds and word lists. The defaults are fixed values: the published scoring table."""
 
     groups: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(CONCEPT_GROUPS))
     names: dict[str, str] = field(default_factory=lambda: dict(CONCEPT_NAMES))

@@ -19,4 +19,5 @@ def has_family(compact: Column, code: str) -> Column:
     White space is gone already, so a family written after another code and a blank is not found;
     that is the published behaviour.
     """
+    # Fixed value: the pattern of a family.
     return compact.rlike(rf"(?<![A-Z0-9]){code}(?=\p{{Nd}}|/|$)")

@@ -54,6 +54,7 @@ def or_dash(col: Column, default: str = "-") -> Column:
     return F.coalesce(F.nullif(col.cast("string"), F.lit("")), F.lit(default))
 
 
+# Fixed value: what counts as a key parameter and its value.
 SECRET_PATTERN = r"(?i)(accessKey|serviceKey)(\s*[=:]\s*)[^&\s<>\"']+"
 
 

@@ -232,6 +232,42 @@ def history_listing(spark, d):
     return H.history_listing(table(spark, d, "judgments")).select("ord", "decision", "position")
 
 
+@query(
+    "record_history",
+    f"""WITH {RECORDS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY "applicationNumber" ORDER BY coalesce("decisionTime", '') DESC, ord) AS position
+      FROM judgments WHERE coalesce("applicationNumber", '') <> '')
+    SELECT r.ord, max((h.position - 1) // 1000 + 1) AS page, string_agg(h.position || ' ' || coalesce(h.decision, '') || ' ' || coalesce(h."decisionTime", ''), chr(10) ORDER BY h.position) AS entries
+    FROM records r LEFT JOIN h ON r.application_number = h."applicationNumber" GROUP BY r.ord, (h.position - 1) // 1000""",
+)
+def record_history(spark, d):
+    found = H.with_history(records(spark, d), table(spark, d, "judgments"))
+    empty = F.lit("")
+    line = lambda e: F.concat_ws(" ", e["position"], F.coalesce(e["decision"], empty), F.coalesce(e["decisionTime"], empty))
+    return found.select("ord", "page", F.array_join(F.transform("entries", line), "\n").alias("entries"))
+
+
+@query(
+    "difference_display",
+    f"""{S.compared()} SELECT ord, field, coalesce(nullif(previous, ''), '{C.EMPTY_SNAPSHOT}') AS previous,
+      coalesce(nullif(current, ''), '{C.EMPTY_SNAPSHOT}') AS current FROM ({_CHANGED})""",
+)
+def difference_display(spark, d):
+    return H.displayed_differences(_compared(spark, d), "ord")
+
+
+_SHOWN = ("applicant", "ipc", "register_status", "matched_concepts", "score_reason")
+
+
+@query(
+    "record_display",
+    f"{S.scored(ALL)} SELECT ord, coalesce(nullif(title, ''), '{C.UNTITLED}') AS title, coalesce(nullif(application_number, ''), '-') AS application_number, "
+    + ", ".join(f"coalesce(nullif({c}, ''), '-') AS {c}" for c in _SHOWN)
+    + " FROM scored",
+)
+def record_display(spark, d):
+    return H.displayed(_scored(spark, d)).select("ord", "title", "application_number", *_SHOWN)
+
+
 @query(
     "decision_snapshot",
     f"""{S.scored(ALL)} SELECT application_number AS "applicationNumber", title AS "inventionTitle", '추가 검토' AS decision,

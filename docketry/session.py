@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary
-    folder of this machine is used and set for the session.
+    Where that is unset, a session whose executors are threads of this process gets a temporary
+    folder; on a cluster this raises, as no folder of one machine would do.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,9 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage and survives the loss of executors. The columns keep their types; the
-    result can be read column by column.
+    result can be read column by column. The table is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

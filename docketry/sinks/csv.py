@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from docketry.config import ASSESSMENT_COLUMNS, RECORD_FIELDS
@@ -31,6 +33,26 @@ def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     (out.coalesce(1) if single_file else out).write.options(**CSV_OPTIONS).mode("error").csv(path)
 
 
+def write_csv_file(df: DataFrame, folder: str, name: str) -> str:
+    """Write ranked records as the one file ``folder/name`` and return its path.
+
+    The file is written beside its place and then renamed, so a reader never sees half of it.
+    ``folder`` may be on any file system the session knows; an existing file is not overwritten.
+    """
+    spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    target, parts = path_of(f"{folder}/{name}"), path_of(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(f"{folder}/{name} exists already.")
+    write_csv(df, parts.toString())
+    (written,) = [f.getPath() for f in files.listStatus(parts) if f.getPath().getName().startswith("part-")]
+    if not files.rename(written, target):
+        raise OSError(f"{folder}/{name} couldn't be written.")
+    files.delete(parts, True)
+    return f"{folder}/{name}"
+
+
 def read_csv(spark, path: str) -> DataFrame:
     """Read an export back; every column is text, and an empty field is empty text."""
     df = spark.read.options(header="true", escape='"', lineSep="\r\n", nullValue="\0", emptyValue="").csv(path)

@@ -27,6 +27,7 @@ class Response:
     body: bytes
 
 
+# The names of the service's request parameters.
 def request_url(word: str, count: int, key: str, endpoint: str, page: int = 1) -> str:
     query = {
         "word": word, "patent": "true", "utility": "true", "docsStart": str(page),
@@ -91,11 +92,11 @@ class Query(InputPartition):
 
 
 class SearchReader(DataSourceReader):
-    def __init__(self, options, status_only: bool):
+    def __init__(self, options, form: str):
         self.words = [w for w in options.get("word", "").split("\n") if w.strip()]
         self.count = int(options.get("count", MAX_COUNT))
         self.folder, self.saved = options.get("folder"), options.get("saved")
-        self.status_only = status_only
+        self.form = form
 
     def partitions(self):
         return [Query(word) for word in self.words]
@@ -105,25 +106,39 @@ class SearchReader(DataSourceReader):
             SavedTransport(self.saved) if self.saved else FolderTransport(self.folder) if self.folder else HttpTransport()
         )
         # The key is read where the request is made, so that no plan, option or log carries it.
-        answer = transport.get(partition.value, self.count, os.environ.get(KEY_VARIABLE, ""))
+        key = os.environ.get(KEY_VARIABLE, "")
+        if isinstance(transport, HttpTransport) and not (key and os.environ.get(ENDPOINT_VARIABLE)):
+            raise ValueError(f"{KEY_VARIABLE} and {ENDPOINT_VARIABLE} must be set on every executor.")
+        answer = transport.get(partition.value, self.count, key)
+        if self.form == "response":
+            yield (partition.value, answer.status, answer.body)
+            return
         try:
             rows, ok = list(records_of(parse_tree(answer.body))), True
         except MalformedResponse:
             if answer.status < 400:
                 raise
             rows, ok = [], False
-        if self.status_only:
+        if self.form == "status":
             yield (partition.value, answer.status, ok, len(rows))
         else:
             for row in rows:
                 yield (partition.value, *row)
 
 
+FORMS = {
+    "records": f"word string, {RECORD_SCHEMA}",
+    "status": "word string, http_status int, is_xml boolean, n_records int",
+    "response": "word string, http_status int, body binary",
+}
+
+
 class SearchSource(DataSource):
     """``spark.read.format("patent_search").option("word", ...)``; several words on several lines.
 
-    Each word is a partition. ``status=true`` gives one diagnostic row per word (HTTP status, is the
-    body XML, number of records), which tells a failed request from an empty result. ``folder`` reads
+    Each word is a partition. ``form`` is ``records``; ``status``, one diagnostic row per word (HTTP status,
+    is the body XML, number of records), which tells a failed request from an empty result; or
+    ``response``, the HTTP status and the body as received. ``folder`` reads
     saved responses from a folder all executors see, ``saved`` is a response itself; both replace the
     network.
     """
@@ -133,12 +148,10 @@ class SearchSource(DataSource):
         return "patent_search"
 
     def schema(self):
-        if self.options.get("status", "false") == "true":
-            return "word string, http_status int, is_xml boolean, n_records int"
-        return f"word string, {RECORD_SCHEMA}"
+        return FORMS[self.options.get("form", "records")]
 
     def reader(self, schema):
-        return SearchReader(self.options, self.options.get("status", "false") == "true")
+        return SearchReader(self.options, self.options.get("form", "records"))
 
 
 def search(
@@ -146,10 +159,10 @@ def search(
     word: str,
     count: int = MAX_COUNT,
     folder: str | None = None,
-    status: bool = False,
     saved: str | None = None,
+    form: str = "records",
 ) -> DataFrame:
-    """Records (or, with ``status``, diagnostics) for a search word.
+    """Records for a search word; with ``form``, diagnostics or the response itself (:class:`SearchSource`).
 
     The service's address and the access key come from the environment of the process that makes the
     request.
@@ -160,4 +173,4 @@ def search(
         raise ValueError(f"{ENDPOINT_VARIABLE} isn't set.")
     spark.dataSource.register(SearchSource)
     reader = spark.read.format("patent_search").option("word", word).option("count", count)
-    return reader.option("status", str(status).lower()).options(**offline).load()
+    return reader.option("form", form).options(**offline).load()

@@ -57,6 +57,48 @@ def test_listing(log):
     assert got == {2: 1, 3: 2, 1: 3, 6: 1}
 
 
+def test_listing_of_a_hot_application(spark):
+    """Most entries on one application, many of one day, ties in time and number."""
+    import random
+
+    rng = random.Random(3)
+    times = [None, "", "2026-01-01T10:00:00Z", "2026-01-01T11:00:00Z", "2026-01-02T10:00:00Z", "2025-12-31T23:00:00Z"]
+    rows = [entry(i // 2, "1" if i % 4 else f"n{i}", rng.choice(times), status=str(i)) for i in range(400)]
+    rows += [entry(7, None, times[2])] * 3
+    df = spark.createDataFrame(rows, LOG).repartition(5)
+    got = {(r.applicationNumber, r.position): r for r in H.history_listing(df).collect()}
+    by = {}
+    for r in rows:
+        if r[1]:
+            by.setdefault(r[1], []).append(r)
+    assert len(got) == sum(map(len, by.values()))
+    for k, entries in by.items():
+        entries.sort(key=lambda r: (r[0], r[6]))
+        entries.sort(key=lambda r: r[5] or "", reverse=True)
+        assert [(got[k, i].ord, got[k, i].decisionTime or "") for i in range(1, len(entries) + 1)] == [(r[0], r[5] or "") for r in entries]
+    pages = {(r.applicationNumber, r.page): [e.position for e in r.entries] for r in H.history_pages(df, 100).collect()}
+    assert [pages["1", p] for p in (1, 2, 3)] == [list(range(1, 101)), list(range(101, 201)), list(range(201, 301))]
+    records = current(spark, ("1", "", "", ""), ("zz", "", "", ""), ("", "", "", ""), (None, "", "", "")).withColumn("position", F.lit(1))
+    found = H.with_history(records, df, 100).collect()
+    assert sorted((r.application_number or "", r.page or 0, len(r.entries or [])) for r in found) == [
+        ("", 0, 0), ("", 0, 0), ("1", 1, 100), ("1", 2, 100), ("1", 3, 100), ("zz", 0, 0),
+    ]
+
+
+def test_latest_of_equal_numbers(spark):
+    rows = [entry(1, "1", "2026", status=s) for s in "acb"]
+    for part in (rows, rows[::-1]):
+        assert H.latest_entries(spark.createDataFrame(part, LOG)).first().registerStatusAtDecision == "c"
+
+
+def test_display(spark, log):
+    df = current(spark, ("1", "", "B", "H01M|B60L")).withColumn("title", F.lit(""))
+    shown = H.displayed(df).first()
+    assert (shown.title, shown.register_status, shown.applicant) == (C.UNTITLED, "-", "B")
+    rows = {r.field: (r.previous, r.current) for r in H.displayed_differences(H.compare_with_latest(df, log)).collect()}
+    assert rows["등록상태"] == ("공개", C.EMPTY_SNAPSHOT)
+
+
 def test_reviewed(spark, log):
     df = current(spark, ("1", "", "", ""), ("2", "", "", ""), (None, "", "", ""))
     assert [r.application_number for r in H.reviewed(df, log).collect()] == ["1"]

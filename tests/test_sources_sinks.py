@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from docketry.cli import main
 from docketry.functions.text import edge_trim, mask_secrets, mask_text, squeeze
 from docketry.plans.queries import XML
-from docketry.sinks.csv import read_csv, write_csv
+from docketry.sinks.console import diagnostics, preview
+from docketry.sinks.csv import read_csv, write_csv, write_csv_file
 from docketry.sources.rest import request_url, search
 from docketry.sources.xml_records import (
     MalformedResponse, first_record_tags, parse_records, parse_tree, records_of, response_metadata,
@@ -51,7 +52,7 @@ def test_search_source(spark, tmp_path, monkeypatch):
     folder = str(tmp_path)
     assert search(spark, "ok", folder=folder).count() == 3
     assert search(spark, "gone", folder=folder).count() == 0
-    status = search(spark, "ok\ngone", folder=folder, status=True).collect()
+    status = search(spark, "ok\ngone", folder=folder, form="status").collect()
     assert {(s.word, s.http_status, s.is_xml, s.n_records) for s in status} == {("ok", 200, True, 3), ("gone", 503, False, 0)}
     for word in ("bad", "missing"):
         with pytest.raises(Exception):
@@ -66,6 +67,8 @@ def test_search_source(spark, tmp_path, monkeypatch):
     monkeypatch.delenv("PATENT_SEARCH_ENDPOINT", raising=False)
     with pytest.raises(ValueError, match="ENDPOINT"):
         search(spark, "ok")
+    answer = search(spark, "ok", folder=folder, form="response").first()
+    assert (answer.http_status, bytes(answer.body)) == (200, XML.encode())
     url = request_url("w", 5, "k&y", "http://localhost/s")
     assert url.startswith("http://localhost/s?word=w&") and "accessKey=k%26y" in url and "docsCount=5" in url
 
@@ -115,11 +118,40 @@ def test_csv_bytes(spark, tmp_path):
     assert read_csv(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_one_csv_file(spark, tmp_path):
+    fields = ["title", "application_number", "applicant", "ipc", "register_status", "abstract", "relevance_score"]
+    df = spark.createDataFrame([tuple("abcdefg")], ", ".join(f"{f} string" for f in fields)).repartition(3)
+    path = write_csv_file(df, str(tmp_path / "o"), "r.csv")
+    assert path.endswith("/o/r.csv") and not [p for p in (tmp_path / "o").iterdir() if p.is_dir()]
+    assert open(path, encoding="utf-8-sig").read() == "발명의 명칭,출원번호,출원인,IPC,등록상태,초록,relevance_score\na,b,c,d,e,f,g\n"
+    with pytest.raises(FileExistsError):
+        write_csv_file(df, str(tmp_path / "o"), "r.csv")
+
+
+def test_worker_needs_the_key(monkeypatch):
+    from docketry.sources.rest import Query, SearchReader
+
+    for name in ("PATENT_SEARCH_KEY", "PATENT_SEARCH_ENDPOINT"):
+        monkeypatch.delenv(name, raising=False)
+    with pytest.raises(ValueError, match="executor"):
+        list(SearchReader({"word": "w"}, "records").read(Query("w")))
+
+
+def test_diagnostics():
+    lines = diagnostics(503, XML.encode() + b"<!-- accessKey=abc -->", "1020200000001")
+    assert lines[:4] == ["[DEBUG] HTTP status: 503", "[DEBUG] resultCode: 00", "[DEBUG] resultMsg: ", "[DEBUG] successYN: Y"]
+    assert lines[4:7] == ["[DEBUG] <PatentUtilityInfo> nodes: 2", "[DEBUG] <item> nodes: 2", "[DEBUG] Tags of the first record: InventionName, ApplicationNumber"]
+    text = "\n".join(lines)
+    assert "1020200000001" not in text and "accessKey=[REDACTED]" in text and preview(b"x" * 2000) == "x" * 1200
+    assert preview(b"key=1 ab\xff", "ab") == "key=1 [REDACTED]\ufffd"
+
+
 def test_masking(spark):
     text = "u?accessKey = abc&x=1 serviceKey:zz <t>"
     assert mask_text(text) == "u?accessKey = [REDACTED]&x=1 serviceKey:[REDACTED] <t>"
     df = spark.createDataFrame([(text + " secret",)], "t string")
     assert df.select(mask_secrets(F.col("t"), "secret")).first()[0] == mask_text(text + " secret", "secret")
+    assert mask_text("no secret", "secret", mark="[가림]") == "no [가림]"
 
 
 def test_white_space(spark):
@@ -132,7 +164,11 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "w.xml").write_text(XML, encoding="utf-8")
     (tmp_path / "none.xml").write_text("<a/>", encoding="utf-8")
     common = ["--technology", "배터리", "--folder", str(tmp_path), "--output", str(tmp_path / "o")]
-    assert main(["w", *common]) == 0 and "1. A bold x | 1020200000001" in capsys.readouterr().out
+    assert main(["w", *common, "--debug"]) == 0
+    out = capsys.readouterr().out
+    assert "1. A bold x | 1020200000001" in out and "Search: w\nScored against: 배터리\nRecords: 3" in out
+    assert "[DEBUG] HTTP status: 200" in out and len(list((tmp_path / "o").glob("ranked_????????_??????.csv"))) == 1
+    assert main(["w", "--technology", " ", "--folder", str(tmp_path)]) == 1 and "required" in capsys.readouterr().err
     assert main(["none", *common]) == 1 and main(["w", *common, "--count", "0"]) == 1
 
 
