@@ -9,7 +9,6 @@ counted over all texts.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -31,16 +30,23 @@ REMARKS = (
     r"(?:\s*(?:대표도\s*[-:–]?\s*도\s*\d+|\((?:선택도|대표도|도면)[^()]*\)|\[[^\[\]\d.…]{1,12}\]"
     r"|(?:키워드|주제어|색인어)\s*:[^.\n]*|(?i:(?:key ?words?|index terms)\s*:[^.\n]*|\((?:fig(?:ure)?\.?|drawing)[^()]*\)|\[end\])))+\s*$"
 )
-#: A full stop behind a number may be the point of a longer number, so such a text is looked at.
-STOPPED = r"[^\d\s][.!?。]['\"”’)\]]*$"
 #: What may stand behind the last word of a cut text as if it were whole.
 STOP = re.compile(r"[.!?。]['\"”’)\]]*$")
-UNIT_END = re.compile(r"(?<=[^\d\s][.!?。])\s+|(?<=\d[.!?。])\s+(?=\D)|\s*\n\s*|;\s+|\s+/\s+")
+#: Where a unit ends in a text with single blanks and line breaks: full stops (those of numbers only before no
+#: number), lines, semicolons, slashes between blanks.
+UNIT_END = re.compile(r" (?:(?<=[^\d\s][.!?。] )|(?<=\d[.!?。] )(?=\D)|/[ \n])|\n(?:/[ \n])?|;[ \n]")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_FULL_STOP = re.compile(r"[^\d\s][.!?。](?:\s|$)")
+_HANGUL = re.compile("[가-힣]")
 #: A word is common in its group (script, prose or notes) if at least this share of the units hold it. There are at most
 #: (mean words of a unit) / FRAME_SHARE such words, so they are sent to all tasks.
 FRAME_SHARE = 0.035
 #: The frame looks at this many words before the end.
 FRAME_WORDS = 14
+#: Prefixes of words are looked up by at most this many characters; longer ones are compared whole behind that.
+PREFIX = 40
+#: Bits of the sketch of the keys that texts are searched by: its size is fixed, it only spares rows that meet nothing.
+SKETCH_BITS = 1 << 26
 #: Seen less often than this, a frame or word says nothing.
 ENOUGH = 5
 MIN_FRAME, MIN_WORD = 0.35, 0.03
@@ -58,77 +64,102 @@ MIN_SIMILARITY = 0.8
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def _units(body: str) -> list[list[str]]:
-    """The units of a text as words, digits masked."""
-    pieces = (re.sub(r"\d+(?:[.,]\d+)*", "#", p.strip().rstrip(".!?。")).split() for p in UNIT_END.split(body))
-    return [words for words in pieces if words]
+#: Groups of units: script, and whether the text has full stops at all.
+GROUPS = ("ko.prose", "ko.note", "other.prose", "other.note")
+_B = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([pow(int(_B), j, 1 << 64) for j in range(FRAME_WORDS)], np.uint64)
 
 
-def _styled(body: str) -> tuple[list[tuple[str, list[str]]], bool]:
-    """The units with their group: the script, and whether the text has full stops at all."""
-    prose = bool(re.search(r"[^\d\s][.!?。](?:\s|$)", body))
-    return [(_script(words) + (".prose" if prose else ".note"), words) for words in _units(body)], prose
+def packed_units(body: str) -> str:
+    """The units of a text in one string, numbers masked.
 
-
-def _script(words: list[str]) -> str:
-    return "ko" if any("가" <= c <= "힣" for w in words for c in w) else "other"
-
-
-def _masked(group: str, words: list[str], frame: frozenset) -> list[str]:
-    return [w if w == "#" or (group, w) in frame else "*" for w in words]
-
-
-def _frame_at(group: str, masked: list[str], k: int) -> str:
-    """The frame of the first ``k`` words: at most the last FRAME_WORDS of them."""
-    return f"{group}{'^' if k <= FRAME_WORDS else ''} " + " ".join(masked[max(0, k - FRAME_WORDS) : k])
-
-
-def _key(frame: str) -> int:
-    return xxhash.xxh64_intdigest(frame) - 2**63
+    Each begins with the number of its group; units are parted by line breaks, words by a blank.
+    """
+    note = 0 if _FULL_STOP.search(body) else 1
+    pieces = _NUMBER.sub("#", "\n".join([p.strip().rstrip(".!?。") for p in UNIT_END.split(body)])).split("\n")
+    units = [" ".join(p.split()) for p in pieces]
+    return "\n".join([f"{note if _HANGUL.search(u) else note + 2}{u}" for u in units if u])
+
+
+class _Flat:
+    """The words of all units of a batch in one array."""
+
+    def __init__(self, packed: list[str], is_open: np.ndarray):
+        texts = [p.split("\n") if p else [] for p in packed]
+        units = [u for t in texts for u in t]
+        self.group = np.array([int(u[0]) for u in units], np.int64)
+        sizes = np.array([u.count(" ") + 1 for u in units], np.int64)
+        flat = " ".join(u[1:] for u in units).split(" ") if units else []
+        self.code, self.words = pd.factorize(np.array(flat, dtype=object))
+        self.unit = np.repeat(np.arange(len(units)), sizes)
+        self.last = np.cumsum(sizes) - 1
+        begin = self.last - sizes + 1
+        #: Place of each word in its unit, from 0.
+        self.place = np.arange(len(flat)) - begin[self.unit] if units else np.empty(0, np.int64)
+        self.inner = np.ones(len(flat), bool)
+        self.inner[self.last] = False
+        #: Units whose end counts: not the last one of an open text, as it may be cut. Else the same fragment,
+        #: cut off again and again, would pass for a closing word.
+        self.ends = np.ones(len(units), bool)
+        at = np.cumsum([len(t) for t in texts]) - 1
+        self.ends[at[[bool(o) and bool(t) for o, t in zip(is_open, texts)]]] = False
 
 
 def _word_counts(batches):
-    """Per group: units, units with a word, and how often the word closes a unit or stands inside.
-
-    The last unit of an open text may be cut, so its end counts for nothing: else the same fragment,
-    cut off again and again, would pass for a closing word.
-    """
+    """Per group: units, units with a word, and how often the word closes a unit or stands inside."""
     for batch in batches:
-        units: dict = defaultdict(int)
-        close: dict = defaultdict(int)
-        mid: dict = defaultdict(int)
-        for body, is_open in zip(batch["body"], batch["open"]):
-            found = _styled(body)[0]
-            for i, (g, words) in enumerate(found, 1):
-                units[g, ""] += 1
-                for w in set(words):
-                    units[g, w] += 1
-                for w in words[:-1]:
-                    mid[g, w] += 1
-                if not is_open or i < len(found):
-                    close[g, words[-1]] += 1
-        rows = [(g, w, n, close[g, w], mid[g, w]) for (g, w), n in units.items()]
-        yield pd.DataFrame(rows, columns=["grp", "word", "n_units", "n_close", "n_mid"])
+        f = _Flat(batch["units"].tolist(), batch["open"].to_numpy())
+        n = len(f.words)
+        if not n:
+            continue
+        own = f.group[f.unit] * n + f.code
+        held = np.unique(f.unit * (len(GROUPS) * n) + own) % (len(GROUPS) * n)
+        count = lambda x: np.bincount(x, minlength=len(GROUPS) * n)
+        units, mid, close = count(held), count(own[f.inner]), count(own[f.last[f.ends]])
+        at = np.flatnonzero(units)
+        yield pd.DataFrame(
+            {
+                "grp": np.array(GROUPS, object)[at // n], "word": f.words[at % n],
+                "n_units": units[at], "n_close": close[at], "n_mid": mid[at],
+            }
+        )
+        totals = np.bincount(f.group, minlength=len(GROUPS))
+        yield pd.DataFrame({"grp": GROUPS, "word": "", "n_units": totals, "n_close": 0, "n_mid": 0})
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) | 1
+
+
+def _frame_keys(f: _Flat, common: frozenset, group: np.ndarray) -> np.ndarray:
+    """Key of the frame that ends at each word: at most the last FRAME_WORDS words of the unit, all but common ones masked."""
+    star = _hash("*")
+    table = np.full((len(GROUPS), max(1, len(f.words))), star, np.uint64)
+    for i, w in enumerate(f.words):
+        for g, name in enumerate(GROUPS):
+            if w == "#" or (name, w) in common:
+                table[g, i] = _hash(w)
+    code = table[group[f.unit], f.code] if len(f.code) else np.empty(0, np.uint64)
+    key = np.zeros(len(code), np.uint64)
+    for j in range(min(FRAME_WORDS, len(code))):
+        key[j:] += np.where(f.place[j:] >= j, code[: len(code) - j], np.uint64(0)) * _POWERS[j]
+    whole = f.place < FRAME_WORDS
+    key ^= (group[f.unit].astype(np.uint64) * np.uint64(2) + whole.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(31)
+    return (key * _B).view(np.int64)
 
 
 def _frame_counts(frame):
     """How often each frame is a whole unit and how often a unit goes on after it."""
 
     def count(batches):
-        common = frame.value
         for batch in batches:
-            close: dict = defaultdict(int)
-            mid: dict = defaultdict(int)
-            for body, is_open in zip(batch["body"], batch["open"]):
-                units = _styled(body)[0]
-                for i, (g, words) in enumerate(units, 1):
-                    masked = _masked(g, words, common)
-                    for k in range(1, len(words)):
-                        mid[_frame_at(g, masked, k)] += 1
-                    if not is_open or i < len(units):
-                        close[_frame_at(g, masked, len(words))] += 1
-            rows = [(_key(k), close.get(k, 0), mid.get(k, 0)) for k in {*close, *mid}]
-            yield pd.DataFrame(rows, columns=["frame", "n_close", "n_mid"])
+            f = _Flat(batch["units"].tolist(), batch["open"].to_numpy())
+            found, at = np.unique(_frame_keys(f, frame.value, f.group), return_inverse=True)
+            n = len(found)
+            close = np.bincount(at[f.last[f.ends]], minlength=n)
+            mid = np.bincount(at[f.inner], minlength=n)
+            yield pd.DataFrame({"frame": found, "n_close": close, "n_mid": mid})[close + mid > 0]
 
     return count
 
@@ -137,73 +168,112 @@ def _last_units(frame):
     """Last unit of each open text: script, closing word, its frame, and its frame among prose."""
 
     def last(batches):
-        common = frame.value
         for batch in batches:
-            rows = []
-            for tid, body in zip(batch["tid"], batch["body"]):
-                units = _styled(body)[0]
-                g, words = units[-1] if units else ("other.note", ["*"])
-                script = g.partition(".")[0]
-                keys = [_key(_frame_at(x, _masked(x, words, common), len(words))) for x in (g, script + ".prose")]
-                rows.append((tid, script, words[-1], *keys))
-            yield pd.DataFrame(rows, columns=["tid", "script", "word", "frame", "prose_frame"])
+            packed = [p.rpartition("\n")[2] or "3*" for p in batch["units"]]
+            f = _Flat(packed, np.zeros(len(packed), bool))
+            keys = [_frame_keys(f, frame.value, g)[f.last] for g in (f.group, f.group // 2 * 2)]
+            script = np.array(["ko", "other"], object)[f.group // 2]
+            yield pd.DataFrame(
+                {"tid": batch["tid"].to_numpy(), "script": script, "word": f.words[f.code[f.last]], "frame": keys[0], "prose_frame": keys[1]}
+            )
 
     return last
 
 
 def _tokens(body: str) -> list[str]:
-    return body.replace("\n", " \n ").split(" ")
+    return [w for w in body.replace("\n", " \n ").split(" ") if w] or [""]
+
+
+class _Hashes(dict):
+    """Hash of each word, worked out once."""
 
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
-def _heads(top_only: bool):
-    """Band keys of the heads of each text: (key, id, characters). ``top_only``: of its longest head."""
+
+def _head_keys(split: list[list[str]], top_only: bool):
+    """Band keys of the heads of texts, given as words: arrays of text numbers and of their BANDS keys, step by step.
+
+    ``top_only``: only of the longest head of each text.
+    """
+    # The last word may be cut in two, so it is in no head.
+    kept = [i for i, w in enumerate(split) if len(w) > SHINGLE]
+    if not kept:
+        return
+    numbers = np.array(kept)
+    sizes = np.array([len(split[i]) for i in kept], np.int64)
+    known = _Hashes()
+    h = np.array([known[w] for i in kept for w in split[i][:-1]], np.uint64)
+    s = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        s = s * np.uint64(0x100000001B3) + h[j : len(h) - SHINGLE + 1 + j]
+    begin = np.concatenate(([0], np.cumsum(sizes - 1)[:-1]))
+    low = np.full((len(kept), BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
+    rest, at = np.arange(len(kept)), 0
+    for step, following in zip(LADDER, LADDER[1:]):
+        rest = rest[sizes[rest] - 1 >= step]
+        if not len(rest):
+            return
+        width = step - SHINGLE + 1 - at
+        places = (begin[rest] + at)[:, None] + np.arange(width)
+        for lo in range(0, len(rest), max(1, 200_000 // width)):
+            part = slice(lo, lo + max(1, 200_000 // width))
+            mixed = s[places[part]][:, :, None] * _MIX[0] + _MIX[1]
+            mixed ^= mixed >> np.uint64(31)
+            low[rest[part]] = np.minimum(low[rest[part]], mixed.min(axis=1))
+        at += width
+        out = rest[sizes[rest] - 1 < following] if top_only else rest
+        grouped = low[out].reshape(len(out), BANDS, ROWS)
+        key = np.uint64(step) * np.uint64(1_000_003) + np.arange(BANDS, dtype=np.uint64)[None, :]
+        for j in range(ROWS):
+            key = (key ^ grouped[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        yield numbers[out], key.view(np.int64)
+
+
+def _described(batches):
+    """Texts with their packed units, the band keys of their longest head, and their last four words."""
+    for batch in batches:
+        bodies = batch["body"].tolist()
+        keys: list = [()] * len(bodies)
+        split = [_tokens(b) for b in bodies]
+        for at, found in _head_keys(split, True):
+            for i, k in zip(at.tolist(), found):
+                keys[i] = k
+        tails = [f" {' '.join(w[-4:-1])} {STOP.sub('', w[-1]) or w[-1]}" for w in split]
+        yield batch.assign(units=[packed_units(b) for b in bodies], keys=keys, tail=tails)
+
+
+def _heads(sketch):
+    """Band keys of all heads of each text that the sketch knows: (key, id, characters)."""
 
     def heads(batches):
+        bits = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
-            # The last word may be cut in two, so it is in no head.
-            split = [[w for w in _tokens(b) if w] for b in batch["body"]]
-            kept = [i for i, w in enumerate(split) if len(w) > SHINGLE]
-            ids = batch["id"].to_numpy()[kept]
-            sizes = np.array([len(split[i]) for i in kept], np.int64)
-            chars = batch["body"].str.len().to_numpy()[kept]
-            if not kept:
-                continue
-            h = np.array([xxhash.xxh64_intdigest(w) for i in kept for w in split[i][:-1]], np.uint64)
-            s = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-            for j in range(SHINGLE):
-                s = s * np.uint64(0x100000001B3) + h[j : len(h) - SHINGLE + 1 + j]
-            begin = np.concatenate(([0], np.cumsum(sizes - 1)[:-1]))
-            low = np.full((len(kept), BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
-            rest, at = np.arange(len(kept)), 0
-            for step, following in zip(LADDER, LADDER[1:]):
-                rest = rest[sizes[rest] - 1 >= step]
-                if not len(rest):
-                    break
-                width = step - SHINGLE + 1 - at
-                places = (begin[rest] + at)[:, None] + np.arange(width)
-                for lo in range(0, len(rest), max(1, 200_000 // width)):
-                    part = slice(lo, lo + max(1, 200_000 // width))
-                    mixed = s[places[part]][:, :, None] * _MIX[0] + _MIX[1]
-                    mixed ^= mixed >> np.uint64(31)
-                    low[rest[part]] = np.minimum(low[rest[part]], mixed.min(axis=1))
-                at += width
-                out = rest[sizes[rest] - 1 < following] if top_only else rest
-                grouped = low[out].reshape(len(out), BANDS, ROWS)
-                key = np.uint64(step) * np.uint64(1_000_003) + np.arange(BANDS, dtype=np.uint64)[None, :]
-                for j in range(ROWS):
-                    key = (key ^ grouped[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(32)
-                yield pd.DataFrame(
-                    {
-                        "key": key.view(np.int64).ravel(),
-                        "id": np.repeat(ids[out], BANDS),
-                        "n": np.repeat(chars[out].astype(np.int32), BANDS),
-                    }
-                )
+            ids, chars = batch["id"].to_numpy(), batch["body"].str.len().to_numpy().astype(np.int32)
+            for at, found in _head_keys([_tokens(b) for b in batch["body"]], False):
+                bit = found & (SKETCH_BITS - 1)
+                row, band = np.nonzero(bits[bit >> 3] >> (bit & 7) & 1)
+                yield pd.DataFrame({"key": found[row, band], "id": ids[at[row]], "n": chars[at[row]]})
 
     return heads
 
 
+def key_sketch(keys: DataFrame, key: str = "key") -> bytes:
+    """A bitmap of SKETCH_BITS bits with a bit for each key: of the same size for any number of keys."""
+    bit = F.col(key).bitwiseAND(F.lit(SKETCH_BITS - 1))
+    rows = (
+        keys.groupBy(F.bitmap_bucket_number(bit + 1).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits"))
+        .collect()
+    )
+    out = bytearray(SKETCH_BITS // 8)
+    for r in rows:
+        out[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] = r.bits
+    return bytes(out)
+
+
 def align_end(cut: str, full: str) -> int:
     """Where the text ``cut`` ends in ``full``: 1 inside a unit, 0 at the end of one, -1 not aligned.
 
@@ -212,7 +282,7 @@ def align_end(cut: str, full: str) -> int:
     begins with the last one. A full stop behind the last word may have been put there, so the word is
     compared without it, and the text is whole only where ``full`` ends a unit too.
     """
-    c, f = [w for w in _tokens(cut) if w], [w for w in _tokens(full) if w]
+    c, f = _tokens(cut), _tokens(full)
     m = len(c) - 1
     if m < SHINGLE or len(full) <= len(cut):
         return -1
@@ -244,25 +314,45 @@ def _align(cut: pd.Series, full: pd.Series) -> pd.Series:
     return pd.Series([align_end(a, b) for a, b in zip(cut, full)], dtype="int32")
 
 
-def _at_end(text: Column, pattern: str, reach: int) -> Column:
-    """Remove what the pattern matches at the end; it never matches more than ``reach`` characters."""
-    tail = F.regexp_replace(F.right(text, F.lit(reach)), pattern, "")
-    return F.concat(F.left(text, F.greatest(F.length(text) - reach, F.lit(0))), tail)
+def _then(value: Column, step) -> Column:
+    """``step`` of a value that is computed once, however often the step names it."""
+    return F.transform(F.array(value), step)[0]
 
 
 def body_of(col: Column) -> Column:
-    """The text in one form of characters, blanks squeezed inside lines, closing remarks dropped."""
-    text = F.regexp_replace(plain_form(col), r"(?U)[^\S\n]+", " ")
-    text = F.trim(F.regexp_replace(text, r" ?\n[\n ]*", "\n"))
-    # No remark ends with a full stop.
-    stripped = F.when(F.right(text, F.lit(1)) == ".", text).otherwise(_at_end(text, REMARKS, 300))
-    return F.rtrim(F.regexp_replace(stripped, r"\n+$", ""))
+    """The text in one form of characters, blanks squeezed inside lines, closing remarks dropped.
+
+    Each replacement is tried only where a cheaper test says that its pattern can occur.
+    """
+    control = r"\t\r\f\x0B\x1C-\x1F\x85"
+
+    def steps(text: Column) -> Column:
+        blanks = F.contains(text, F.lit("  ")) | ~text.rlike(rf"\A[^{control}]*+\z")
+        text = _then(text, lambda t: F.when(blanks, F.regexp_replace(t, f"[ {control}]+", " ")).otherwise(t))
+        return _then(F.trim(_then(text, lines)), without_remarks)
+
+    def lines(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, r" ?\n[\n ]*", "\n")).otherwise(text)
+
+    def without_remarks(text: Column) -> Column:
+        # No remark ends with a full stop; one that names its words may end anyhow, the others end as tested.
+        end = F.right(text, F.lit(1))
+        may = (end != ".") & (end.rlike(r"[)\]\d]") | text.rlike("(?i)키워드|주제어|색인어|key ?words?|index terms"))
+        return F.rtrim(F.when(may, F.regexp_replace(text, REMARKS, "")).otherwise(text), F.lit(" \n"))
+
+    return _then(plain_form(col), steps)
 
 
 def without_marks(text: Column) -> Column:
     """The text without marks of a cut; a single full stop is none."""
-    whole = F.right(text, F.lit(2)).rlike(r"[^.\s]\.$")
-    return F.when(whole, text).otherwise(_at_end(text, CUT_MARKS, 80))
+    # The last mark ends the text, and no mark is so long that its end holds none of these characters.
+    marked = F.right(text, F.lit(16)).rlike(r"[.…\])�<&-]") & ~F.right(text, F.lit(2)).rlike(r"[^.\s]\.$")
+    return F.when(marked, F.regexp_replace(text, CUT_MARKS, "")).otherwise(text)
+
+
+def stopped(text: Column) -> Column:
+    """Does the text end with a full stop that is no point of a number, quotes and brackets aside?"""
+    return F.right(F.rtrim(text, F.lit("'\"”’)]")), F.lit(2)).rlike(r"[^\d\s][.!?。]")
 
 
 def truncated(
@@ -299,10 +389,12 @@ def truncated(
         base.filter("body <> ''")
         .groupBy("tid")
         .agg(F.any_value("body").alias("body"), F.any_value("marked").alias("marked"))
-        .withColumn("open", ~F.right("body", F.lit(20)).rlike(STOPPED)),
+        # A full stop behind a number may be the point of a longer number, so such a text is looked at.
+        .withColumn("open", ~stopped(F.col("body")))
+        .mapInPandas(_described, "tid string, body string, marked boolean, open boolean, units string, keys array<long>, tail string"),
         "texts",
     )
-    counted = texts.select("body", "open").mapInPandas(
+    counted = texts.select("units", "open").mapInPandas(
         _word_counts, "grp string, word string, n_units long, n_close long, n_mid long"
     )
     grouped = materialize(
@@ -318,13 +410,13 @@ def truncated(
     )
 
     frames = (
-        texts.select("body", "open")
+        texts.select("units", "open")
         .mapInPandas(_frame_counts(frame), "frame long, n_close long, n_mid long")
         .groupBy("frame")
         .agg(F.sum("n_close").alias("f_close"), F.sum("n_mid").alias("f_mid"))
     )
     open_texts = texts.filter("open")
-    last = open_texts.select("tid", "body").mapInPandas(
+    last = open_texts.select("tid", "units").mapInPandas(
         _last_units(frame), "tid string, script string, word string, frame long, prose_frame long"
     )
     by_word = words.select("script", "word", F.col("n_close").alias("w_close"), F.col("n_mid").alias("w_mid"))
@@ -333,13 +425,23 @@ def truncated(
         words.filter((F.length("word") > 1) & (F.col("n_close") + F.col("n_mid") >= ENOUGH))
         .select(
             "script",
-            F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(40))), lambda i: F.substr("word", F.lit(1), i))).alias("word"),
+            F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(PREFIX))), lambda i: F.substr("word", F.lit(1), i))).alias("word"),
             (F.col("n_close") + F.col("n_mid")).alias("n"),
             F.col("n_close").alias("c"),
         )
         .groupBy("script", "word")
         .agg(F.sum("n").alias("n_longer"), F.sum("c").alias("longer_close"))
     )
+    # The few closing words longer than that meet the words that share their first characters.
+    long_words = words.filter((F.length("word") > PREFIX) & (F.col("n_close") + F.col("n_mid") >= ENOUGH))
+    long_ends = last.filter(F.length("word") > PREFIX).select("script", "word").distinct()
+    longer = longer.unionByName(
+        long_ends.withColumn("start", F.left("word", F.lit(PREFIX)))
+        .join(long_words.select("script", F.left("word", F.lit(PREFIX)).alias("start"), F.col("word").alias("other"), "n_close", "n_mid"), ["script", "start"])
+        .filter(F.startswith("other", "word") & (F.col("other") != F.col("word")))
+        .groupBy("script", "word")
+        .agg(F.sum(F.col("n_close") + F.col("n_mid")).alias("n_longer"), F.sum("n_close").alias("longer_close"))
+    )
     as_prose = frames.select(F.col("frame").alias("prose_frame"), F.col("f_close").alias("p_close"), F.col("f_mid").alias("p_mid"))
     scored = (
         last.join(by_word, ["script", "word"], "left")
@@ -351,14 +453,16 @@ def truncated(
     # Bands carry a hash of the text's key. If two texts share one, a candidate is wrong or missing;
     # every candidate is verified by its alignment.
     hashed = F.xxhash64("tid").alias("id")
-    schema = "key long, id long, n int"
     # All texts of a bucket are candidates; one that isn't longer can't go on.
-    heads = texts.select(hashed, "body").mapInPandas(_heads(False), schema).select("key", F.col("id").alias("copy"), F.col("n").alias("n_copy"))
-    probes = texts.select(hashed, "body").mapInPandas(_heads(True), schema)
+    probes = texts.select(hashed, F.length("body").alias("n"), F.explode("keys").alias("key"))
+    sketch = spark.sparkContext.broadcast(key_sketch(probes))
+    heads = texts.select(hashed, "body").mapInPandas(_heads(sketch), "key long, id long, n int").select("key", F.col("id").alias("copy"), F.col("n").alias("n_copy"))
     pairs = probes.join(heads, "key").filter("id <> copy and n_copy > n").select("id", "copy").distinct()
     aligned = (
-        pairs.join(texts.select("tid", hashed, F.col("body").alias("cut")), "id")
+        pairs.join(texts.select("tid", hashed, F.col("body").alias("cut"), "tail"), "id")
         .join(texts.select(F.xxhash64("tid").alias("copy"), F.col("body").alias("full")), "copy")
+        # What the alignment demands first: the last words stand in the copy.
+        .filter(F.contains(F.concat(F.lit(" "), F.replace("full", F.lit("\n"), F.lit(" \n "))), F.col("tail")))
         .select("tid", _align("cut", "full").alias("ends"))
         .filter("ends >= 0")
         .groupBy("tid")
