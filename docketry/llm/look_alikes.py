@@ -56,9 +56,9 @@ SINGLE, SEVERAL = _stand_ins()
 _LETTER = "A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f"
 _LOOK = "".join(LOOK_ALIKES)
 _EDGE = rf"(?<=[{_LETTER}])(?![{_LETTER}])|(?<![{_LETTER}])(?=[{_LETTER}])"
-#: A run of letters is Latin in disguise if all of it is Latin or looks like it, and it has a Latin
-#: letter or a second letter; a single look-alike is a symbol of its own unless it is Cyrillic.
-_DISGUISED = rf"^(?:[A-Za-z{_LOOK}]{{2,}}|[{''.join(CYRILLIC)}])$"
+#: A run of letters is Latin in disguise if all of it is Latin or looks like it and it has a Latin letter. A run
+#: without one is left alone: it is a symbol or a word of its own script, and nothing in it tells otherwise.
+_DISGUISED = rf"^[{_LOOK}]*[A-Za-z][A-Za-z{_LOOK}]*$"
 
 
 def _ranges(codes: list[int]) -> str:
@@ -99,7 +99,7 @@ def mapped_form(col: Column) -> Column:
     """The value with invisible characters removed and look-alikes mapped; marks stay decomposed.
 
     Greek and Cyrillic letters are mapped only in runs of letters that are Latin in disguise, so
-    symbols such as α, μm or kΩ and words of those languages stay.
+    symbols such as α, μm or kΩ and words of those languages stay, even where all their letters look Latin.
     """
     text = F.regexp_replace(col, f"[{INVISIBLE}]", "")
     text = F.translate(text, "".join(SINGLE), "".join(SINGLE.values()))

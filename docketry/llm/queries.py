@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.llm.leakage import leak_report, leaks
-from docketry.llm.look_alikes import CYRILLIC, INVISIBLE, LOOK_ALIKES, SEVERAL, SINGLE, uniform_text
+from docketry.llm.look_alikes import uniform_text
 from docketry.llm.mixing import mix
 from docketry.llm.names import name_classes, name_pairs
 from docketry.llm.splitting import split_oversized
@@ -29,35 +29,39 @@ def query(name: str, sql: str | None = None):
 
 # Problem 4: visually identical text.
 
-_LOOK = "".join(LOOK_ALIKES)
-_CYR = "".join(CYRILLIC)
-_ANY = "A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f"
-_STAND_INS = "".join(c for c in [*SINGLE, *SEVERAL]).replace("-", r"\-").replace("]", r"\]")
-_INV = INVISIBLE
-
-
-def _odd_sql(col: str) -> str:
-    bare = f"translate(regexp_replace({col}, '[{_INV}]', '', 'g'), '{''.join(SINGLE)}', '{''.join(SINGLE.values()).replace(chr(39), chr(39) * 2)}')"
-    run = rf"(^|[^{_ANY}])([A-Za-z{_LOOK}]+[{_LOOK}]|[{_LOOK}][A-Za-z{_LOOK}]+|[A-Za-z{_LOOK}]+[{_LOOK}][A-Za-z{_LOOK}]+|[{_CYR}])($|[^{_ANY}])"
-    return (
-        f"(regexp_matches({col}, '[{_INV}{_STAND_INS}]') OR nfc_normalize({col}) <> {col} "
-        f"OR regexp_matches({bare}, '{run}'))"
-    )
+# Fixed values, by code point: stand-ins that occur in the tables and what they stand for.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace("'", "''")
+_BLANKS = "       　"
+_UNSEEN = "­᠎​‌‍‎‏⁠﻿"
+_PAIRS = {"℃": "°C", "℉": "°F", "㎜": "mm", "㎝": "cm", "㎞": "km", "㎏": "kg", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "µ": "μ"}
+_FOREIGN = "АВЕЅІЈКМНОРСТУХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
+_LATIN = "ABESIJKMHOPCTYXaesijopcyxABEZHIKMNOPTYXo"
+_LETTERS = "A-Za-zÀ-ɏͰ-ϿЀ-ԯ"
+
+
+def _uniform_sql(col: str) -> str:
+    x = f"translate(regexp_replace({col}, '[{_UNSEEN}]', '', 'g'), '{_WIDE}{_BLANKS}', '{_NARROW}{' ' * len(_BLANKS)}')"
+    for sign, plain in _PAIRS.items():
+        x = f"replace({x}, '{sign}', '{plain}')"
+    runs = f"regexp_extract_all({x}, '[{_LETTERS}]+|[^{_LETTERS}]+')"
+    disguised = f"regexp_matches(r, '^[A-Za-z{_FOREIGN}]+$') AND regexp_matches(r, '[A-Za-z]')"
+    return f"nfc_normalize(array_to_string(list_transform({runs}, lambda r: CASE WHEN {disguised} THEN translate(r, '{_FOREIGN}', '{_LATIN}') ELSE r END), ''))"
+
+
+_UNIFORM = " UNION ALL ".join(
+    f"""SELECT rec_id, '{f}' AS field_name, "{f}" AS value, {_uniform_sql('"' + f + '"')} AS canonical FROM patent_utility_info WHERE "{f}" IS NOT NULL"""
+    for f in TEXT_FIELDS
+)
 
 
-@query(
-    "p4_found",
-    " UNION ALL ".join(
-        f"""SELECT rec_id, '{f}' AS field_name FROM patent_utility_info WHERE "{f}" IS NOT NULL AND {_odd_sql('"' + f + '"')}"""
-        for f in TEXT_FIELDS
-    ),
-)
+@query("p4_found", f"SELECT rec_id, field_name FROM ({_UNIFORM}) WHERE value <> canonical")
 def p4_found(spark, d):
     forms = uniform_text(table(spark, d, "patent_utility_info"), TEXT_FIELDS, only_odd=True)
     return forms.select("rec_id", "field_name")
 
 
-@query("p4_uniform")
+@query("p4_uniform", f"SELECT rec_id, field_name, canonical FROM ({_UNIFORM})")
 def p4_uniform(spark, d):
     return uniform_text(table(spark, d, "patent_utility_info"), TEXT_FIELDS).select("rec_id", "field_name", "canonical")
 

@@ -7,12 +7,12 @@ from docketry.llm.look_alikes import plain, uniform_text
 ODD = {
     "ＡBC １２": "ABC 12", "a​b": "ab", "a b": "a b", "a　b": "a b", "﻿x": "x", "co­op": "coop",
     "25 ℃": "25 °C", "5 ㎜": "5 mm", "3 Å": "3 Å", "3 Å": "3 Å", "2 Ω": "2 Ω", "7 µm": "7 μm",
-    "ﬁlm": "film", unicodedata.normalize("NFD", "배터리 냉각"): "배터리 냉각", "РТС 연동": "PTC 연동", "USΒ": "USB",
+    "ﬁlm": "film", unicodedata.normalize("NFD", "배터리 냉각"): "배터리 냉각", "P\u0422\u0421 연동": "PTC 연동", "USΒ": "USB",
     "mοdule": "module", "sоlаr": "solar", "​": "", "kΡa": "kPa", "éte": "éte", "\U0001d400b": "Ab",
 }
 PLAIN = [
     "배터리 냉각", "α상, β-실리콘", "25 °C, 3 Å, 10 kΩ, 7 μm", "tabs\tand\nlines", "“quotes” – dash… · ×", "broken �", "", " ",
-    "привет мир", "λόγος", "Ω 및 Α-형", "漢字かな", "x" * 100_000,
+    "привет мир", "хор", "Хор поёт, а оркестр играет в срок", "το νερο ρεει και το νεο", "ΝΕΑ", "Х축", "λόγος", "Ω 및 Α-형", "漢字かな", "x" * 100_000,
 ]
 
 
@@ -36,7 +36,7 @@ def test_forms(spark):
 
 
 def test_equal_looks_become_equal(spark):
-    forms = ["PTC 냉각", "РТС 냉각", "ＰＴＣ 냉각", "PTC 냉각", unicodedata.normalize("NFD", "PTC 냉각"), "P​TC 냉각"]
+    forms = ["PTC 냉각", "P\u0422\u0421 냉각", "ＰＴＣ 냉각", "PTC 냉각", unicodedata.normalize("NFD", "PTC 냉각"), "P​TC 냉각"]
     df = spark.createDataFrame(list(enumerate(forms)), "rec_id long, t string")
     assert {r.canonical for r in uniform_text(df, ("t",)).collect()} == {"PTC 냉각"}
 
