@@ -76,3 +76,38 @@ def test_wand_equals_exhaustive_scores(monkeypatch):
                 score[index.item[p]] += index.score[p]
         for threshold in (0.3, 1.0):
             assert sorted(index.retrieve(terms, threshold)) == np.flatnonzero(score >= threshold * (1 - 1e-9)).tolist()
+
+
+def test_least_window():
+    """The bound equals a count of the distinct grams of every window, with grams that repeat."""
+    rng = random.Random(2)
+    for size in (60, 61, 90, 200):
+        for letters in ("ab", "abcdefgh"):
+            text = "".join(rng.choice(letters) for _ in range(size))
+            grams = [int(g) for g in gram_hashes(_codes(text))]
+            scores = {g: rng.random() for g in grams}
+            window = 60 - leakage.GRAM + 1
+            want = min(sum(scores[g] for g in set(grams[i : i + window])) for i in range(len(grams) - window + 1))
+            got = leakage._least_window(text, np.array([scores[g] for g in sorted(scores)]), window)
+            assert want * (1 - 1e-8) <= got <= want
+
+
+def test_memory_of_a_full_block():
+    """An index of BLOCK_CHARS characters, with every item verified, takes less than 300 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from docketry.llm.leakage import BLOCK_CHARS, ItemIndex
+rng = random.Random(1)
+texts = ["".join(rng.choices("abcdefghijklmnop0123456789", k=500)) for _ in range(BLOCK_CHARS // 500)]
+ids = list(range(len(texts)))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = ItemIndex(ids, texts)
+assert all(index.shares_run(k, texts[k][100:200]) and not index.shares_run(k, texts[k - 1]) for k in range(len(texts)))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(__file__).parents[2]))
+    assert int(out.stdout) < 300, out.stdout
+    print(out.stdout)
