@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer stretches without white space are encoded in parts of this size; merges take quadratic time.
-MAX_WORD = 20_000
 
 
 @lru_cache(maxsize=2)
