@@ -369,8 +369,10 @@ def truncated(
     searched by its longest head among the heads of all texts. One with a full stop is cut if a copy
     goes on inside the unit and none ends it there. All
     texts of a band bucket are compared with the text, so the pairs grow with what texts have in
-    common; of a bucket, only those with a text for which it is the longest head are listed. Words and frames are counted where the texts are and
-    combined before each shuffle.
+    common. Heads are looked up in a sketch of fixed size first, which only spares those that no text
+    is searched by. A text of fewer than six words has no five-word shingle before its last word, so
+    it has no near-copies and is scored by its closing words. Words and frames are counted where the
+    texts are and combined before each shuffle.
     """
     spark = df.sparkSession
     base = materialize(
@@ -381,7 +383,10 @@ def truncated(
         )
         .withColumn("body", without_marks(F.col("whole")))
         .withColumn("marked", F.col("body") != F.col("whole"))
-        .withColumn("tid", F.md5(F.concat("body", F.col("marked").cast("string"))))
+        # Blank texts are judged without a text; each keeps to itself, so that they don't meet in one task.
+        .withColumn("blank", F.concat(F.lit("blank "), F.monotonically_increasing_id()))
+        .withColumn("tid", F.when(F.col("body") == "", F.col("blank")).otherwise(F.md5(F.concat("body", F.col("marked").cast("string")))))
+        .drop("blank")
         .drop("whole"),
         "bodies",
     )

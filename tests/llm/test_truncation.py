@@ -2,7 +2,7 @@
 
 import random
 
-from docketry.llm.truncation import LADDER, align_end, cut_shares, truncated
+from docketry.llm.truncation import LADDER, STOP, align_end, cut_shares, truncated
 
 NOUNS = ["필터", "밸브", "센서", "펌프", "노즐", "렌즈", "기판", "코일", "탱크", "커넥터"]
 FRAMES = [
@@ -119,3 +119,50 @@ def test_every_copy_of_a_crowded_bucket(spark):
     got = {r.rec_id: (r.is_cut, r.evidence) for r in truncated(df).collect()}
     assert {got[i] for i in range(40, 85)} == {(True, "aligned")}
     assert not any(got[i][0] for i in range(40))
+
+
+def exhaustive(texts):
+    """Verdicts of every alignment of two texts: 1 if some copy goes on, 0 if all end there."""
+    bodies = [t for t in texts if t]
+    ends = {}
+    for a in bodies:
+        found = [e for b in bodies if len(b) > len(a) and (e := align_end(a, b)) >= 0]
+        if found:
+            ends[a] = max(found) if not STOP.search(a) else min(found)
+    return ends
+
+
+def test_alignments_against_all_pairs(spark):
+    """Of the links that comparing all texts with all others gives, at least 0.95 are found."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(150):
+        t = abstract(rng, rng.randint(2, 6))
+        texts.append(t)
+        words = t.split(" ")
+        for _ in range(rng.randint(0, 3)):
+            w = words[: rng.randint(6, len(words) - 1)]
+            if rng.random() < 0.4:  # another wording at a place before the cut
+                w[rng.randrange(len(w))] = rng.choice(NOUNS)
+            if rng.random() < 0.5 and len(w[-1]) > 2:
+                w[-1] = w[-1][:-1]
+            texts.append(" ".join(w) + rng.choice(["", "", "."]))
+    texts = list(dict.fromkeys(t for t in texts if not t.endswith("..")))
+    want = exhaustive(texts)
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "rec_id long, source string, astrtCont string")
+    got = {texts[r.rec_id] for r in truncated(df).collect() if r.evidence == "aligned"}
+    links = {t for t, e in want.items() if e == 1 or not STOP.search(t)}
+    assert len(links) > 100 and len(links & got) >= 0.95 * len(links) and got <= set(want)
+
+
+def test_no_text_is_too_long_for_a_mark_or_remark(spark):
+    """A remark of thousands of characters is dropped, a mark of hundreds is seen, and words of any length do no harm."""
+    rng = random.Random(6)
+    whole = [abstract(rng) for _ in range(30)]
+    remark = " 키워드: " + ", ".join(f"유로{i}" for i in range(900))
+    long_word = "x" * 300
+    rows = [*whole, whole[0][:-1] + remark, whole[1][: len(whole[1]) // 2] + "…" * 400]
+    rows += [f"본 발명은 {rng.choice(NOUNS)}를 {long_word}abc 장치에 관한 것이다." for _ in range(8)] + [f"본 발명은 다른 {rng.choice(NOUNS)} {long_word}a"]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "rec_id long, source string, astrtCont string")
+    got = {r.rec_id: (r.is_cut, r.evidence) for r in truncated(df).collect()}
+    assert got[30][0] is False and got[31][0] is True
