@@ -76,8 +76,8 @@ def packed_units(body: str) -> str:
     Each begins with the number of its group; units are parted by line breaks, words by a blank.
     """
     note = 0 if _FULL_STOP.search(body) else 1
-    pieces = _NUMBER.sub("#", "\n".join([p.strip().rstrip(".!?。") for p in UNIT_END.split(body)])).split("\n")
-    units = [" ".join(p.split()) for p in pieces]
+    pieces = _NUMBER.sub("#", "\n".join([p.strip(" ").rstrip(".!?。") for p in UNIT_END.split(body)])).split("\n")
+    units = [p.strip(" ") for p in pieces]
     return "\n".join([f"{note if _HANGUL.search(u) else note + 2}{u}" for u in units if u])
 
 
@@ -113,7 +113,7 @@ def _word_counts(batches):
         if not n:
             continue
         own = f.group[f.unit] * n + f.code
-        held = np.unique(f.unit * (len(GROUPS) * n) + own) % (len(GROUPS) * n)
+        held = pd.unique(f.unit * (len(GROUPS) * n) + own) % (len(GROUPS) * n)
         count = lambda x: np.bincount(x, minlength=len(GROUPS) * n)
         units, mid, close = count(held), count(own[f.inner]), count(own[f.last[f.ends]])
         at = np.flatnonzero(units)
