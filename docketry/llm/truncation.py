@@ -105,26 +105,23 @@ class _Flat:
         self.ends[at[[bool(o) and bool(t) for o, t in zip(is_open, texts)]]] = False
 
 
-def _word_counts(batches):
-    """Per group: units, units with a word, and how often the word closes a unit or stands inside."""
-    for batch in batches:
-        f = _Flat(batch["units"].tolist(), batch["open"].to_numpy())
-        n = len(f.words)
-        if not n:
-            continue
-        own = f.group[f.unit] * n + f.code
-        held = pd.unique(f.unit * (len(GROUPS) * n) + own) % (len(GROUPS) * n)
-        count = lambda x: np.bincount(x, minlength=len(GROUPS) * n)
-        units, mid, close = count(held), count(own[f.inner]), count(own[f.last[f.ends]])
-        at = np.flatnonzero(units)
-        yield pd.DataFrame(
-            {
-                "grp": np.array(GROUPS, object)[at // n], "word": f.words[at % n],
-                "n_units": units[at], "n_close": close[at], "n_mid": mid[at],
-            }
-        )
-        totals = np.bincount(f.group, minlength=len(GROUPS))
-        yield pd.DataFrame({"grp": GROUPS, "word": "", "n_units": totals, "n_close": 0, "n_mid": 0})
+def _word_counts(f: _Flat) -> dict[str, np.ndarray]:
+    """Per group (a number): units (with an empty word), units with a word, how often it closes a unit or stands inside."""
+    n = len(f.words)
+    own = f.group[f.unit] * n + f.code
+    held = pd.unique(f.unit * (len(GROUPS) * n) + own) % (len(GROUPS) * n)
+    count = lambda x: np.bincount(x, minlength=len(GROUPS) * n)
+    units, mid, close = count(held), count(own[f.inner]), count(own[f.last[f.ends]])
+    at = np.flatnonzero(units)
+    none, every = np.zeros(len(GROUPS), np.int64), np.arange(len(GROUPS))
+    totals = np.bincount(f.group, minlength=len(GROUPS))
+    return {
+        "grp": np.append(at // n, every), "word": np.append(f.words[at % n], [""] * len(GROUPS)),
+        "n_units": np.append(units[at], totals), "n_close": np.append(close[at], none), "n_mid": np.append(mid[at], none),
+    }
+
+
+COUNTS = ("grp", "word", "n_units", "n_close", "n_mid")
 
 
 def _hash(word: str) -> int:
@@ -233,7 +230,10 @@ def _head_keys(split: list[list[str]], top_only: bool):
 
 
 def _described(batches):
-    """Texts with their packed units, the band keys of their longest head, and their last four words."""
+    """Texts with their packed units, the band keys of their longest head, and their last four words.
+
+    The first text of a batch carries the word counts of the batch.
+    """
     for batch in batches:
         bodies = batch["body"].tolist()
         keys: list = [()] * len(bodies)
@@ -242,7 +242,13 @@ def _described(batches):
             for i, k in zip(at.tolist(), found):
                 keys[i] = k
         tails = [f" {' '.join(w[-4:-1])} {STOP.sub('', w[-1]) or w[-1]}" for w in split]
-        yield batch.assign(units=[packed_units(b) for b in bodies], keys=keys, tail=tails)
+        units = [packed_units(b) for b in bodies]
+        out = batch.assign(units=units, keys=keys, tail=tails)
+        if any(units):
+            counts = _word_counts(_Flat(units, batch["open"].to_numpy()))
+            yield out.assign(**{c: [v, *[None] * (len(batch) - 1)] for c, v in counts.items()})
+        elif bodies:
+            yield out.assign(**dict.fromkeys(COUNTS))
 
 
 def _heads(sketch):
@@ -396,12 +402,15 @@ def truncated(
         .agg(F.any_value("body").alias("body"), F.any_value("marked").alias("marked"))
         # A full stop behind a number may be the point of a longer number, so such a text is looked at.
         .withColumn("open", ~stopped(F.col("body")))
-        .mapInPandas(_described, "tid string, body string, marked boolean, open boolean, units string, keys array<long>, tail string"),
+        .mapInPandas(
+            _described,
+            "tid string, body string, marked boolean, open boolean, units string, keys array<long>, tail string, "
+            "grp array<long>, word array<string>, n_units array<long>, n_close array<long>, n_mid array<long>",
+        ),
         "texts",
     )
-    counted = texts.select("units", "open").mapInPandas(
-        _word_counts, "grp string, word string, n_units long, n_close long, n_mid long"
-    )
+    counted = texts.filter("grp is not null").select(F.inline(F.arrays_zip(*COUNTS)))
+    counted = counted.withColumn("grp", F.array(*map(F.lit, GROUPS))[F.col("grp").cast("int")])
     grouped = materialize(
         counted.groupBy("grp", "word").agg(*[F.sum(c).alias(c) for c in ("n_units", "n_close", "n_mid")]), "words"
     )
